@@ -93,9 +93,15 @@ def spacing_summary(gaps: DataFrame) -> DataFrame:
         F.min("distance_gap").alias("min_distance_gap"), F.count_if(F.col("progress_gap") < 1.0).alias("close_progress"),
         F.count_if(F.col("departure_gap") < 120).alias("close_departure"),
     )
-    for field in ["progress_gap", "departure_gap", "distance_gap"]:
-        base = base.join(exact_quantiles(gaps, keys, field, {f"median_{field}": 0.5}), keys, "left")
-    return base
+    fields = ["progress_gap", "departure_gap", "distance_gap"]
+    # The three measures are stacked, so one pass finds all medians.
+    stacked = gaps.select(
+        *keys, F.explode(F.array(*[F.struct(F.lit(f).alias("measure"), F.col(f).cast("double").alias("v")) for f in fields])).alias("m")
+    ).select(*keys, "m.*")
+    medians = exact_quantiles(stacked, [*keys, "measure"], "v", {"median": 0.5}).groupBy(*keys).agg(
+        *[F.max(F.when(F.col("measure") == f, F.col("median"))).alias(f"median_{f}") for f in fields]
+    )
+    return base.join(medians, keys, "left")
 
 
 def closest_pairs(gaps: DataFrame, keep: int = 5) -> DataFrame:

@@ -149,6 +149,6 @@ def next_trip(requests: DataFrame, visits: DataFrame, hops: DataFrame) -> DataFr
         .groupBy("request_id").agg(F.min(F.struct("tier", "hit")).alias("b"))
     )
     return requests.join(found, "request_id", "left").select(
-        *requests.columns, F.col("b.tier").alias("tier"), F.col("b.hit.at").alias("at"), F.col("b.hit.instance_id").alias("instance_id"),
+        *requests.columns, F.col("b.tier").alias("tier"), F.col("b.hit.at").alias("at_sec"), F.col("b.hit.instance_id").alias("instance_id"),
         F.coalesce(F.col("b.hit.trip_segment"), F.col("segment_id")).alias("matched_segment"),
     )

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from transitloom import constants as C
 from transitloom.functions.draws import poisson_cdf
-from transitloom.operators import demand, timetable
+from transitloom.operators import demand, network, routes, scenario, timetable
 from transitloom.session import STEPS
 from transitloom.sources.bindings import Tables, oracle
 
@@ -95,6 +95,25 @@ class Context:
     def segment_loads(self) -> DataFrame:
         return demand.segment_loads(self.hops, self.loads, RUN_ID)
 
+    @cached_property
+    def all_segments(self) -> DataFrame:
+        return network.augment_segments(self.t.segments, self.t.members, self.t.stop_times, self.t.trips, self.t.stops)[0]
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        """Network edges with the constant density; searches do not depend on density."""
+        weighted = network.edge_weights(self.all_segments, None, None, None)
+        return self.step("edges", lambda: network.network_edges(weighted, self.t.members, self.t.stops))
+
+    @cached_property
+    def od(self) -> DataFrame:
+        pairs = scenario.screening_pairs(self.t.members).select("origin", "destination").distinct()
+        return pairs.select(F.concat_ws(">", "origin", "destination").alias("od_id"), "origin", "destination")
+
+    @cached_property
+    def routes(self) -> DataFrame:
+        return self.step("routes", lambda: routes.candidate_routes(self.od, network.route_moves(self.edges)))
+
 
 # ---- oracle pieces ---------------------------------------------------------------------------------
 

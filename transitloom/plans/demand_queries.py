@@ -47,12 +47,12 @@ def ridership_rows(c):
 @register(
     "recent_dates",
     f"""
-    WITH ranked AS (SELECT corridor_id, date, row_number() OVER (PARTITION BY corridor_id ORDER BY date DESC) - 1 AS rank FROM {{riders}}),
-    kept AS (SELECT * FROM ranked WHERE rank < 30),
+    WITH ranked AS (SELECT corridor_id, date, row_number() OVER (PARTITION BY corridor_id ORDER BY date DESC) AS rn FROM {{riders}}),
+    kept AS (SELECT * FROM ranked WHERE rn <= 30),
     n AS (SELECT corridor_id, count(*) AS n, max(date) AS latest FROM kept GROUP BY corridor_id)
     SELECT k.corridor_id, CAST(n.n AS BIGINT) AS recent, strftime(n.latest, '%Y-%m-%d') AS latest, strftime(k.date, '%Y-%m-%d') AS sampled,
            strftime(u.used_date, '%Y-%m-%d') AS used_for_date
-    FROM kept k JOIN n ON k.corridor_id = n.corridor_id AND k.rank = {hash_sql("'ridership_sample_30'", f"'{RUN_ID}'", 'k.corridor_id')} % n.n
+    FROM kept k JOIN n ON k.corridor_id = n.corridor_id AND k.rn - 1 = {hash_sql("'ridership_sample_30'", f"'{RUN_ID}'", 'k.corridor_id')} % n.n
     JOIN {{o_used}} u ON u.corridor_id = k.corridor_id""",
 )
 def recent_dates(c):
@@ -70,12 +70,12 @@ def recent_dates(c):
     "daily_mean_load",
     """
     SELECT strftime(r.date, '%Y-%m-%d') AS date, r.corridor_id, coalesce(s.supply, 0) AS supply,
-           round(CASE WHEN s.supply > 0 THEN r.riders / (s.supply * 80) ELSE 0.5::DOUBLE END, 6) AS mean_load
+           CASE WHEN s.supply > 0 THEN r.riders / (s.supply * 80) ELSE 0.5::DOUBLE END AS mean_load
     FROM {riders} r LEFT JOIN (SELECT corridor_id, count(*) AS supply FROM {o_instances} GROUP BY corridor_id) s USING (corridor_id)""",
 )
 def daily_mean_load(c):
     return demand.daily_mean_load(c.t.riders, c.instances).select(
-        F.date_format("date", "yyyy-MM-dd").alias("date"), "corridor_id", "supply", r("mean_load").alias("mean_load")
+        F.date_format("date", "yyyy-MM-dd").alias("date"), "corridor_id", "supply", "mean_load"
     )
 
 
@@ -282,11 +282,11 @@ REQUESTS_SQL = """
     f"""
     WITH req AS ({REQUESTS_SQL}),
     cand AS (
-      SELECT r.request_id, 1 AS tier, h.arr AS at, h.instance_id, h.segment_id AS seg FROM req r JOIN {{o_ihops}} h ON h.corridor_id = r.corridor_id AND h.from_stop = r.from_stop AND h.to_stop = r.to_stop AND h.arr >= r.ready
+      SELECT r.request_id, 1 AS tier, h.arr AS at_sec, h.instance_id, h.segment_id AS seg FROM req r JOIN {{o_ihops}} h ON h.corridor_id = r.corridor_id AND h.from_stop = r.from_stop AND h.to_stop = r.to_stop AND h.arr >= r.ready
       UNION ALL SELECT r.request_id, 2, v.arr, v.instance_id, NULL FROM req r JOIN {{o_visits}} v ON v.corridor_id = r.corridor_id AND v.stop_id = r.from_stop AND v.arr >= r.ready
       UNION ALL SELECT r.request_id, 3, v.dep, v.instance_id, NULL FROM req r JOIN {{o_visits}} v ON v.corridor_id = r.corridor_id AND v.pos = 1 AND v.dep >= r.ready),
-    best AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY tier, at, instance_id) AS rn FROM cand)
-    SELECT r.request_id, b.tier, b.at, b.instance_id, coalesce(b.seg, r.segment_id) AS matched_segment FROM req r LEFT JOIN best b ON b.request_id = r.request_id AND b.rn = 1""",
+    best AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY tier, at_sec, instance_id) AS rn FROM cand)
+    SELECT r.request_id, b.tier, b.at_sec, b.instance_id, coalesce(b.seg, r.segment_id) AS matched_segment FROM req r LEFT JOIN best b ON b.request_id = r.request_id AND b.rn = 1""",
 )
 def next_trip_tiered(c):
     one = c.t.segments.withColumn("ready", 25200 + (F.col("seq") * 1777) % 50000).select(
@@ -297,7 +297,7 @@ def next_trip_tiered(c):
         "corridor_id", F.col("b").alias("from_stop"), F.lit("nowhere").alias("to_stop"), (30000 + F.col("seq") * 2222).alias("ready"),
     )
     found = lookup.next_trip(one.unionByName(two), c.visits, c.hops)
-    return found.select("request_id", "tier", "at", "instance_id", "matched_segment")
+    return found.select("request_id", "tier", "at_sec", "instance_id", "matched_segment")
 
 
 @register(

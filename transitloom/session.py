@@ -1,8 +1,9 @@
-"""Session helpers: defaults for local runs, shared checkpoint folder, materialised steps."""
+"""Session helpers: defaults for local runs, steps written to the shared folder."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,23 +23,37 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "
     )
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names; fall back to a temporary one only when none is set."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isDefined():
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-ckpt-", dir="/tmp"))
+def step_folder(spark: SparkSession) -> str:
+    """Folder for written steps: the shared one the cluster names, a temporary one only when none is set."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared:
+        shared = tempfile.mkdtemp(prefix="spark-steps-", dir="/tmp")
+        spark.conf.set("spark.checkpoint.dir", shared)
+    return f"{shared.rstrip('/')}/{spark.sparkContext.applicationId}"
+
+
+def store(df: DataFrame) -> str:
+    """Writes ``df`` as a table in the step folder and returns its path."""
+    path = f"{step_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return path
+
+
+def load(spark: SparkSession, schema, *paths: str) -> DataFrame:
+    return spark.read.schema(schema).parquet(*paths)
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and continue from the files (lineage ends here)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Ends the lineage: ``df`` is written once and read back.
+
+    The written table survives lost executors, and its known size lets the optimizer choose the
+    join strategy of the next step.
+    """
+    return load(df.sparkSession, df.schema, store(df))
 
 
 class StepStore:
-    """Remembers checkpointed steps per (application, input folder, step) for reuse between queries."""
+    """Remembers written steps per (application, input folder, step) for reuse between queries."""
 
     def __init__(self) -> None:
         self._steps: dict[tuple, DataFrame] = {}

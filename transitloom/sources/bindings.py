@@ -141,6 +141,33 @@ BINDINGS: dict[str, str] = {
                      CAST(row_number() OVER (PARTITION BY l_orderkey
                           ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INT) AS stop_sequence
               FROM {{lineitem}}) AS ordered""",
+    # ---- stored routes (orders, lineitem): a customer is an origin-destination pair, an order a route --
+    "route_lines": """
+        SELECT CAST(o.o_custkey AS STRING) AS od_id, l.l_orderkey AS candidate, l.pos, l.l_suppkey AS a,
+               coalesce(lead(l.l_suppkey) OVER (PARTITION BY l.l_orderkey ORDER BY l.pos), l.l_suppkey) AS b,
+               CASE WHEN l.l_returnflag = 'R' AND l.pos > 1 THEN 'transit' ELSE 'segmen' END AS kind,
+               CAST(1 + (l.l_linenumber * l.l_linenumber) % 3 AS STRING) AS corridor_id, l.l_quantity, l.l_extendedprice, l.l_discount
+        FROM (SELECT l_orderkey, l_suppkey, l_linenumber, l_returnflag, l_quantity, l_extendedprice, l_discount,
+                     CAST(row_number() OVER (PARTITION BY l_orderkey
+                          ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INT) AS pos
+              FROM {lineitem}) AS l JOIN {orders} o ON l.l_orderkey = o.o_orderkey""",
+    "route_steps": """
+        SELECT od_id, candidate, pos, CAST(a AS STRING) AS from_stop, CAST(b AS STRING) AS to_stop, kind, corridor_id,
+               CASE WHEN kind = 'segmen' THEN concat(corridor_id, ':', CAST(a AS STRING), '>', CAST(b AS STRING)) END AS segment_id,
+               CAST(CASE WHEN kind = 'segmen' THEN l_quantity * 20 ELSE 0 END AS INT) AS secs,
+               CASE WHEN kind = 'segmen' THEN l_extendedprice / 100 ELSE CAST(0 AS DOUBLE) END AS meters,
+               CASE WHEN kind = 'segmen' THEN l_discount * 10 ELSE CAST(0 AS DOUBLE) END AS density
+        FROM {route_lines}""",
+    "lines_of_stop": "SELECT corridor_id, cnum, stop_id FROM {members} WHERE NOT ((cnum - 1) % 13 >= 8 AND k % 3 = 0) AND NOT ((cnum - 1) % 13 < 8 AND k % 7 = 1)",
+    "catalog": """
+        SELECT DISTINCT CAST(l_suppkey AS STRING) AS origin,
+               CAST((l_partkey * 7 + l_linenumber) % (SELECT count(*) FROM {supplier}) AS STRING) AS destination FROM {lineitem}""",
+    # ---- results of replications (lineitem): a supplier is a scenario, a line a replication -----------
+    "mc_rows": """
+        SELECT CAST(l_suppkey AS STRING) AS scenario, l_orderkey * 10 + l_linenumber AS replication, l_partkey, l_extendedprice,
+               l_discount * 10 AS baseline, l_tax * 12 AS recommended, l_returnflag <> 'N' AS changed, l_quantity * 10 AS extra_secs,
+               CASE WHEN l_tax > 0.07 THEN NULL ELSE concat(l_returnflag, l_linestatus) END AS signature
+        FROM {lineitem}""",
     # ---- live and telemetry family (events) -----------------------------------------------------
     "readings": f"""
         SELECT event_id, concat('bus-', CAST(user_id AS STRING)) AS bus_id, event_type, value, props,
