@@ -47,8 +47,13 @@ def scaled_lambdas() -> list[float]:
 
 
 def _inverse(u: Column, cdf: list[float]) -> Column:
+    """Number of steps below ``u``: its place among the sorted steps.
+
+    A lambda over the steps would evaluate ``u`` (a SHA-256) once per step; here it is evaluated
+    once and merged into the sorted literal array.
+    """
     steps = F.array(*[F.lit(p) for p in cdf])
-    return F.size(F.filter(steps, lambda p: p < u)).cast("int")
+    return (F.array_position(F.sort_array(F.array_append(steps, u)), u) - 1).cast("int")
 
 
 def poisson_for_weight(weight: Column, *parts: Column) -> Column:
