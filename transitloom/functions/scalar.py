@@ -120,7 +120,8 @@ def clock_text(seconds: Column) -> Column:
 
 
 def kilometres(meters: Column) -> Column:
-    return F.concat(F.format_string("%.1f", meters / 1000.0), F.lit(" km"))
+    tenths = F.floor(meters / 100.0 + 0.5) / 10.0
+    return F.concat(F.format_string("%.1f", tenths), F.lit(" km"))
 
 
 def anchored_clock(anchor: Column, elapsed_secs: Column, speed: Column, playing: Column) -> Column:

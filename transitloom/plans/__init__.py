@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["timetable_queries", "demand_queries", "network_queries", "route_queries", "resample_queries"]
+MODULES = ["timetable_queries", "demand_queries", "network_queries", "route_queries", "resample_queries", "telemetry_queries"]
 
 
 def load_all() -> None:

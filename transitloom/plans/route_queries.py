@@ -196,7 +196,7 @@ def plan_labels(c):
 @register(
     "display_fields",
     """
-    SELECT od_id, candidate, CAST(round_even(secs::DOUBLE / 60, 0) AS INT) AS minutes, concat(printf('%.1f', round(meters, 2) / 1000), ' km') AS km,
+    SELECT od_id, candidate, CAST(round_even(secs::DOUBLE / 60, 0) AS INT) AS minutes, concat(printf('%.1f', floor(round(meters, 2) / 100 + 0.5::DOUBLE) / 10), ' km') AS km,
            concat('Rp', replace(format('{{:,}}', CAST(3500 * rides AS BIGINT)), ',', '.')) AS fare,
            concat(lpad(CAST((18000 + secs) // 3600 % 24 AS VARCHAR), 2, '0'), '.', lpad(CAST((18000 + secs) // 60 % 60 AS VARCHAR), 2, '0')) AS clock FROM {o_totals}""",
 )

@@ -186,13 +186,28 @@ BINDINGS: dict[str, str] = {
                ',"stops":[{{"name":"A","stop_id":"', CAST(event_id % 120 AS STRING), '","parent_stop_id":null,"eta":', CASE WHEN event_id % 2 = 0 THEN 'null' ELSE '3' END,
                '}},{{"name":"B","stop_id":"p', CAST(event_id % 90 AS STRING), '","parent_stop_id":"', CAST(event_id % 90 AS STRING), '","eta":', CAST(4 + passengers % 9 AS STRING), '}}]}}') AS payload
         FROM {readings}""",
+    # Camera messages: device clock, retained flag, clock offset and a tiny image, in JSON.
+    "camera_messages": """
+        SELECT event_id, bus_id, event_type, ms AS received_ms, event_id % 23 = 0 AS retain,
+               CASE WHEN event_id % 11 <> 0 THEN CAST(passengers % 40 AS DOUBLE) - 15 END AS offset_ms,
+               CASE WHEN event_id % 37 = 0 THEN 'not json'
+                    ELSE concat('{{"timestamp":', CASE WHEN event_id % 31 = 0 THEN '12345' ELSE CAST(ms - passengers + 8 AS STRING) END,
+                         ',"image":"', CASE WHEN event_id % 13 = 0 THEN '%%%' WHEN event_id % 17 = 0 THEN 'AAAA'
+                              WHEN event_id % 19 = 0 THEN 'data:image/jpeg;base64,/9j/2Q==' ELSE '/9j/2Q==' END, '"}}') END AS payload
+        FROM {readings}""",
+    "power_messages": """
+        SELECT event_id, bus_id, event_type, ms AS received_ms,
+               concat('{{', CASE WHEN event_id % 3 = 0 THEN concat('"voltage_v":', CAST(passengers / 8 AS STRING)) ELSE concat('"voltage":', CAST(passengers / 8 AS STRING)) END, ',',
+                      CASE WHEN event_id % 4 = 0 THEN concat('"current_a":', CAST(passengers / 4 AS STRING)) WHEN event_id % 29 = 0 THEN '"x":1' ELSE concat('"current_ma":', CAST(passengers AS STRING)) END, ',',
+                      CASE WHEN event_id % 5 = 0 THEN concat('"power_w":', CAST(passengers / 2 AS STRING)) ELSE concat('"power_mw":', CAST(passengers * 3 AS STRING)) END, '}}') AS payload
+        FROM {readings}""",
     # ---- image family (lineitem, embeddings, documents) -----------------------------------------
     "detections": """
         SELECT l_orderkey AS image, l_linenumber AS line, l_partkey, l_suppkey, l_extendedprice,
                l_discount * 10 AS conf, l_quantity * 8 AS w,
                CAST(l_partkey % 60 AS DOUBLE) * 8 AS h, l_returnflag, l_tax
         FROM {lineitem}""",
-    "truth": "SELECT l_orderkey AS image, count(CASE WHEN l_returnflag <> 'R' THEN 1 END) AS actual FROM {lineitem} GROUP BY l_orderkey",
+    "truth": "SELECT l_orderkey AS image, count(CASE WHEN l_returnflag <> 'R' THEN 1 END) AS actual, count(*) AS boxes FROM {lineitem} GROUP BY l_orderkey",
     "label_lines": """
         SELECT concat('img-', CAST(l_orderkey AS STRING)) AS file,
                concat(CASE WHEN l_returnflag = 'N' THEN '0' WHEN l_returnflag = 'A' THEN '1' ELSE '0.5' END, ' ',
@@ -223,8 +238,8 @@ BINDINGS: dict[str, str] = {
     "static_rows": "SELECT p_partkey AS id, p_name AS name, p_brand AS brand, p_retailprice AS price, p_size AS size FROM {part}",
     "live_rows": """
         SELECT p_partkey AS id, concat(' ', p_name) AS name, p_brand AS brand,
-               CASE WHEN p_partkey % 11 = 0 THEN p_retailprice + 1 ELSE p_retailprice END AS price, p_size AS size
-        FROM {part} WHERE p_partkey % 7 <> 0""",
+               CASE WHEN p_type = 'ECONOMY' THEN p_retailprice + 1 ELSE p_retailprice END AS price, p_size AS size
+        FROM {part} WHERE p_size <= 42""",
     "hubs": """
         SELECT CAST(c_custkey AS STRING) AS stop_id,
                concat('Hub', CAST(CAST(floor(c_custkey / 3) AS BIGINT) AS STRING),
