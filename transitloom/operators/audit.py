@@ -8,6 +8,7 @@ from transitloom import constants as C
 from transitloom.functions.geo import distance_m
 from transitloom.operators.lookup import active_at
 from transitloom.operators.ordered import exact_quantiles, previous_row
+from transitloom.session import cut
 
 LINE = ["corridor_id", "direction_id"]
 
@@ -76,7 +77,7 @@ def spacing_gaps(states: DataFrame) -> DataFrame:
     carried to the next cell.
     """
     keys = ["time", *LINE]
-    cells = states.withColumn("_cell", F.floor("progress"))
+    cells = cut(states.withColumn("_cell", F.floor("progress")))
     linked = previous_row(cells, keys, ["progress", "departure", "instance_id"], "_cell", ["progress", "departure", "lat", "lng", "instance_id"])
     return linked.select(
         *keys, "instance_id", F.col("prev.instance_id").alias("behind"),

@@ -182,7 +182,8 @@ def borrow_loads(vehicles: DataFrame, loads: DataFrame, second: int) -> DataFram
 
     band = band_name(F.lit(second))
     pool = loads.filter(F.col("band") == band).select("corridor_id", "instance_id", "load", "passengers")
-    pool = pool.withColumn("_b", F.substring("instance_id", 1, F.length("instance_id") - 2))
+    # A prefix of fixed length keeps the order of the ids, so it can serve as the bucket.
+    pool = pool.withColumn("_b", F.substring("instance_id", F.lit(1), F.length("corridor_id") + 9))
     numbered = number_rows(pool, ["corridor_id"], ["instance_id"], "_b", "slot").drop("_b")
     counts = pool.groupBy("corridor_id").agg(F.count(F.lit(1)).alias("_n"))
     wanted = vehicles.select("bus_id", "corridor_id").distinct().join(counts, "corridor_id").withColumn(

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from transitloom.session import cut
+
 
 def number_rows(df: DataFrame, keys: list[str], order: list[str], bucket: str, out: str = "idx") -> DataFrame:
     """Exact 1-based ``row_number`` per key."""
@@ -66,15 +68,14 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, fractions: dict[
     """Exact linear-interpolated quantiles per key, one output column per entry of ``fractions``.
 
     A mergeable sketch proposes split points; counts per split tell which splits hold the wanted
-    ranks, and only those splits are sorted. Equal values are counted together before any sort.
+    ranks, and only those splits are sorted. Equal values are counted together first, and these counts
+    are written once, so ``df`` is evaluated a single time.
     """
-    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    counted = cut(df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c")))
     grid = F.array(*[F.lit(i / splits) for i in range(1, splits)])
-    sketch = df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(
-        F.percentile_approx(value, grid, F.lit(1000)).alias("_cuts"), F.count(F.lit(1)).alias("_total")
-    )
-    join = (lambda a, b: a.join(b, keys)) if keys else (lambda a, b: a.join(b, F.lit(True)))
-    placed = join(counted, sketch).withColumn(
+    # Split points over the distinct values: what is sorted later is one row per distinct value.
+    sketch = counted.groupBy(*keys).agg(F.percentile_approx(value, grid, F.lit(1000)).alias("_cuts"), F.sum("_c").alias("_total"))
+    placed = counted.join(sketch, keys).withColumn(
         "_split", F.size(F.filter("_cuts", lambda c: c < F.col(value)))
     )
     sizes = placed.groupBy(*keys, "_split").agg(F.sum("_c").alias("_n"), F.first("_total").alias("_total"))

@@ -209,8 +209,8 @@ def final_comparison(rows: DataFrame, segment_stats: DataFrame, keys: list[str])
     )
     base = rows.groupBy(*keys).agg(F.avg("baseline").alias("b"), F.avg("recommended").alias("r"))
     return base.join(top, keys).select(
-        *keys, F.round("b", 6).alias("baseline_density"), F.round("r", 6).alias("recommended_density"), F.round(F.col("b") - F.col("r"), 6).alias("delta_density"),
-        (F.col("r") < F.col("b")).alias("is_better"), F.col("s.segment").alias("top_segment"), F.round("s.mean", 6).alias("segment_mean"), F.round("s.std", 6).alias("segment_std"),
+        *keys, F.col("b").alias("baseline_density"), F.col("r").alias("recommended_density"), (F.col("b") - F.col("r")).alias("delta_density"),
+        (F.col("r") < F.col("b")).alias("is_better"), F.col("s.segment").alias("top_segment"), F.col("s.mean").alias("segment_mean"), F.col("s.std").alias("segment_std"),
     )
 
 

@@ -222,7 +222,8 @@ def assemble_chunks(chunks: DataFrame) -> DataFrame:
     good = checked.filter("valid")
     header = F.struct("total_chunks", "total_len")
     kinds = good.groupBy("frame_id", "chunk_index", "body", header.alias("header")).agg(F.count(F.lit(1)).alias("copies"), F.min("seen").alias("seen"))
-    first = kinds.groupBy("frame_id").agg(F.min(F.struct("seen", "chunk_index", "header", "body")).alias("f")).select("frame_id", F.col("f.header").alias("first_header"))
+    # The first header needs no bodies: a small map-side combined aggregate next to the big shuffle.
+    first = good.groupBy("frame_id").agg(F.min(F.struct("seen", "chunk_index", header.alias("header"))).alias("f")).select("frame_id", F.col("f.header").alias("first_header"))
     kinds = kinds.join(first, "frame_id")
     same = F.col("header") == F.col("first_header")
     per_chunk = kinds.groupBy("frame_id", "chunk_index", "first_header").agg(

@@ -8,6 +8,8 @@ from transitloom import constants as C
 from transitloom.functions.scalar import normal_id, service_seconds
 from transitloom.functions.sequences import overlap_ratio
 from transitloom.operators.components import connected_groups
+from transitloom.operators.ordered import number_rows
+from transitloom.session import cut
 
 PATTERN_KEY = ["corridor_id", "direction_id", "signature", "start_sec", "end_sec", "headway"]
 
@@ -325,7 +327,9 @@ def hop_times(stop_times: DataFrame, trips: DataFrame, order: str) -> DataFrame:
     pairs = owned.groupBy("corridor_id", "from_stop", "to_stop").agg(
         F.min_by("secs", F.struct("_o", "seq")).alias("first_secs"), F.count(F.lit(1)).alias("trips"), F.sum("secs").alias("_s")
     )
-    # The corridor mean comes from the pair totals, so the hops are shuffled once.
+    # The corridor mean comes from the pair totals; they are written once, so the hops are read and
+    # shuffled a single time.
+    pairs = cut(pairs)
     means = pairs.groupBy("corridor_id").agg(F.bround(F.sum("_s") / F.sum("trips"), 0).cast("int").alias("mean_secs"))
     return pairs.drop("_s").join(means, "corridor_id")
 
@@ -353,9 +357,10 @@ def mainline_trips(trips: DataFrame, long_name: Column, plain: list[Column], ord
 
 
 def corridor_stop_order(trips: DataFrame, stop_times: DataFrame, order: str) -> DataFrame:
-    """Distinct stops per corridor in order of first appearance over the ordered trips."""
+    """Distinct stops per corridor in order of first appearance; ``order`` is a numeric trip order."""
     seen = stop_times.join(trips.select("trip_id", "corridor_id", F.col(order).alias("_o")), "trip_id").groupBy("corridor_id", "stop_id").agg(
         F.min(F.struct("_o", "stop_sequence")).alias("_first")
     )
-    w = Window.partitionBy("corridor_id").orderBy("_first")
-    return seen.select("corridor_id", "stop_id", F.row_number().over(w).cast("bigint").alias("seq"))
+    # Numbered inside ranges of the trip order, so a corridor with very many stops is not sorted at once.
+    ranged = seen.withColumn("_b", F.floor(F.col("_first._o") / 4096))
+    return number_rows(ranged, ["corridor_id"], ["_first"], "_b", "seq").select("corridor_id", "stop_id", "seq")

@@ -114,6 +114,20 @@ class Context:
     def routes(self) -> DataFrame:
         return self.step("routes", lambda: routes.candidate_routes(self.od, network.route_moves(self.edges)))
 
+    @cached_property
+    def route_totals(self) -> DataFrame:
+        """Totals of the stored routes, one row per route."""
+        return self.step("route_totals", lambda: routes.route_totals(self.t.route_steps))
+
+    @cached_property
+    def ranked_routes(self) -> DataFrame:
+        return self.step("ranked_routes", lambda: routes.primary_ranks(self.step("scored_routes", lambda: routes.scored_routes(self.route_totals))))
+
+    @cached_property
+    def typed_routes(self) -> DataFrame:
+        ranked = self.ranked_routes.withColumnRenamed("primary_rank", "rank")
+        return self.step("typed_routes", lambda: scenario.classify_routes(ranked, ["od_id"]))
+
 
 # ---- oracle pieces ---------------------------------------------------------------------------------
 

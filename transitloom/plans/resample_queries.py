@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from transitloom import constants as C
 from transitloom.functions.draws import clamped_normal, poisson, stable_hash, uniform
 from transitloom.functions.scalar import anchored_clock
-from transitloom.operators import choice, demand, lookup, resample, routes, scenario
+from transitloom.operators import choice, demand, lookup, resample, scenario
 from transitloom.plans.base import (
     RUN_ID, SERVICE_DATE, STEPS_SQL, band_sql, cdf_sql, clamp_sql, hash_sql, normal_sql, poisson_sql, r, register, uniform_sql,
 )
@@ -257,8 +257,7 @@ SETS_SQL = "(VALUES " + ", ".join(f"('{s[0]}', {s[1]}::DOUBLE, {s[4]}::DOUBLE)"
     SELECT scenario_type, od_id AS origin, CAST(rank AS INT) AS rank, weight_label, w_time, w_density, concat_ws('_', scenario_type, od_id, weight_label) AS label FROM cat, {SETS_SQL} WHERE rank <= 2""",
 )
 def sensitivity_plan(c):
-    ranked = routes.primary_ranks(routes.scored_routes(routes.route_totals(c.t.route_steps))).withColumnRenamed("primary_rank", "rank")
-    typed = scenario.classify_routes(ranked, ["od_id"]).withColumn("delta", F.round("delta", 9))
+    typed = c.typed_routes.withColumn("delta", F.round("delta", 9))
     catalog = typed.select("scenario_type", F.col("od_id").alias("origin"), F.lit(None).cast("string").alias("destination"), "delta", F.col("od_id").alias("seen"))
     return scenario.sensitivity_plan(catalog).select("scenario_type", "origin", "rank", "weight_label", "w_time", "w_density", "label")
 

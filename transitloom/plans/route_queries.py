@@ -30,8 +30,7 @@ STEPS_SQL["o_scored"] = """
 
 
 def stored_totals(c):
-    steps = c.t.route_steps
-    totals = routes.route_totals(steps)
+    steps, totals = c.t.route_steps, c.route_totals
     edge = F.concat_ws("~", "from_stop", "to_stop", "kind", F.coalesce("segment_id", F.lit("")), "corridor_id")
     signatures = steps.groupBy("od_id", "candidate").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", edge.alias("e")))), lambda x: x["e"]).alias("path"))
     return totals.join(signatures, ["od_id", "candidate"]).withColumn("signature", F.array_join("path", "|"))
@@ -112,8 +111,7 @@ def route_legs(c):
            row_number() OVER (PARTITION BY od_id ORDER BY round(primary_score, 9), candidate) AS primary_rank FROM {o_scored}""",
 )
 def primary_rank(c):
-    ranked = routes.primary_ranks(routes.scored_routes(routes.route_totals(c.t.route_steps)))
-    return ranked.select("od_id", "candidate", r("time_norm").alias("time_norm"), r("distance_norm").alias("distance_norm"), r("primary_score").alias("primary_score"), "primary_rank")
+    return c.ranked_routes.select("od_id", "candidate", r("time_norm").alias("time_norm"), r("distance_norm").alias("distance_norm"), r("primary_score").alias("primary_score"), "primary_rank")
 
 
 @register(
@@ -125,7 +123,7 @@ def primary_rank(c):
            row_number() OVER (PARTITION BY od_id ORDER BY NOT within_cap, class_rank, round(density, 12), round(primary_score, 12), candidate) AS final_rank FROM k""",
 )
 def rerank(c):
-    scored = routes.scored_routes(routes.route_totals(c.t.route_steps)).withColumn("minutes", F.col("secs") / 60)
+    scored = c.ranked_routes.withColumn("minutes", F.col("secs") / 60)
     return choice.rerank(scored, ["od_id"]).select("od_id", "candidate", "within_cap", "class_rank", "final_rank")
 
 
@@ -161,8 +159,7 @@ STEPS_SQL["o_typed"] = """
     FROM {o_typed} t""",
 )
 def classify_routes(c):
-    ranked = routes.primary_ranks(routes.scored_routes(routes.route_totals(c.t.route_steps))).withColumnRenamed("primary_rank", "rank")
-    typed = scenario.classify_routes(ranked, ["od_id"])
+    typed = c.typed_routes
     counted = scenario.type_counts(typed).withColumnRenamed("n", "same_type")
     return typed.join(counted, "scenario_type").select(
         "od_id", "scenario_type", "candidates", "sequences", r("delta").alias("delta"), r("time_penalty", 3).alias("time_penalty"), "best_route", "alt_route", "same_type"
@@ -177,7 +174,7 @@ def classify_routes(c):
     SELECT od_id, n, round(density_gap, 6) AS density_gap, round(score_gap, 6) AS score_gap FROM g ORDER BY score_gap <= 0.15::DOUBLE DESC, round(density_gap, 9) DESC, round(score_gap, 9), od_id LIMIT 20""",
 )
 def close_candidates(c):
-    found = scenario.closest_candidates(routes.scored_routes(routes.route_totals(c.t.route_steps)), ["od_id"])
+    found = scenario.closest_candidates(c.ranked_routes, ["od_id"])
     return found.select("od_id", "n", r("density_gap").alias("density_gap"), r("score_gap").alias("score_gap"))
 
 
@@ -189,7 +186,7 @@ def close_candidates(c):
              row_number() OVER (PARTITION BY od_id ORDER BY round(density, 9), candidate) AS e FROM {o_totals}) z""",
 )
 def plan_labels(c):
-    totals = routes.route_totals(c.t.route_steps).withColumn("minutes", minutes(F.col("secs"))).withColumn("density", F.round("density", 9))
+    totals = c.route_totals.withColumn("minutes", minutes(F.col("secs"))).withColumn("density", F.round("density", 9))
     return scenario.plan_labels(totals, ["od_id"])
 
 
@@ -201,8 +198,7 @@ def plan_labels(c):
            concat(lpad(CAST((18000 + secs) // 3600 % 24 AS VARCHAR), 2, '0'), '.', lpad(CAST((18000 + secs) // 60 % 60 AS VARCHAR), 2, '0')) AS clock FROM {o_totals}""",
 )
 def display_fields(c):
-    totals = routes.route_totals(c.t.route_steps)
-    return totals.select(
+    return c.route_totals.select(
         "od_id", "candidate", minutes(F.col("secs")).alias("minutes"), kilometres(F.round("meters", 2)).alias("km"), rupiah(F.col("rides") * 3500).alias("fare"),
         clock_text(F.lit(18000) + F.col("secs")).alias("clock"),
     )
@@ -235,14 +231,17 @@ def itinerary_times(c):
     """
     WITH seg AS (SELECT scenario, l_partkey % 7 AS segment, avg(recommended) AS mean, stddev_samp(recommended) AS std FROM (SELECT * FROM {mc_rows}) m GROUP BY ALL),
     hv AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scenario ORDER BY round(std, 9) DESC, segment) AS rn FROM seg) z WHERE rn = 1)
-    SELECT m.scenario, round(avg(m.baseline), 6) AS baseline_density, round(avg(m.recommended), 6) AS recommended_density, round(avg(m.baseline) - avg(m.recommended), 6) AS delta_density,
-           avg(m.recommended) < avg(m.baseline) AS is_better, any_value(CAST(hv.segment AS VARCHAR)) AS top_segment, round(any_value(hv.mean), 6) AS segment_mean, round(any_value(hv.std), 6) AS segment_std
+    SELECT m.scenario, round(avg(m.baseline), 10) AS baseline_density, round(avg(m.recommended), 10) AS recommended_density, round(avg(m.baseline) - avg(m.recommended), 10) AS delta_density,
+           avg(m.recommended) < avg(m.baseline) AS is_better, any_value(CAST(hv.segment AS VARCHAR)) AS top_segment, round(any_value(hv.mean), 10) AS segment_mean, round(any_value(hv.std), 6) AS segment_std
     FROM {mc_rows} m JOIN hv ON hv.scenario = m.scenario GROUP BY m.scenario""",
 )
 def final_comparison(c):
     rows = c.t.mc_rows
     stats = resample.series_stats(rows.withColumn("segment", (F.col("l_partkey") % 7).cast("string")), ["scenario", "segment"], "recommended")
-    return scenario.final_comparison(rows, stats, ["scenario"])
+    out = scenario.final_comparison(rows, stats, ["scenario"])
+    for name in ["baseline_density", "recommended_density", "delta_density", "segment_mean"]:
+        out = out.withColumn(name, r(name, 10))
+    return out.withColumn("segment_std", r("segment_std"))
 
 
 @register(

@@ -133,14 +133,15 @@ BINDINGS: dict[str, str] = {
                o_orderkey
         FROM {orders}""",
     "feed_stop_times": f"""
-        SELECT CAST(l_orderkey AS STRING) AS trip_id, stop_sequence, CAST(l_suppkey AS STRING) AS stop_id,
+        SELECT trip_id, stop_sequence, CAST(l_suppkey AS STRING) AS stop_id,
                {_hms('18000 + 300 * stop_sequence + l_linenumber * 11')} AS arrival_time,
                CASE WHEN l_returnflag = 'R' AND l_quantity > 48 THEN 'n/a'
                     ELSE {_hms('18000 + 300 * stop_sequence + l_linenumber * 11 + 15')} END AS departure_time
-        FROM (SELECT l_orderkey, l_suppkey, l_linenumber, l_returnflag, l_quantity,
-                     CAST(row_number() OVER (PARTITION BY l_orderkey
+        FROM (SELECT trip_id, l_suppkey, l_linenumber, l_returnflag, l_quantity,
+                     CAST(row_number() OVER (PARTITION BY trip_id
                           ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INT) AS stop_sequence
-              FROM {{lineitem}}) AS ordered""",
+              FROM (SELECT CAST(l_orderkey AS STRING) AS trip_id, l_partkey, l_suppkey, l_linenumber, l_returnflag, l_quantity, l_extendedprice
+                    FROM {{lineitem}}) AS named) AS ordered""",
     # ---- stored routes (orders, lineitem): a customer is an origin-destination pair, an order a route --
     "route_lines": """
         SELECT CAST(o.o_custkey AS STRING) AS od_id, l.l_orderkey AS candidate, l.pos, l.l_suppkey AS a,
