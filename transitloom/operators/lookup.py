@@ -94,9 +94,11 @@ def live_pick(instances: DataFrame, corridor: str, direction: str, second: int)
 
 def overlay_live(loads: DataFrame, picked: DataFrame, reading: DataFrame) -> DataFrame:
     """Replaces the modelled load of the picked instance by the live head count, when there is a fresh one."""
-    live = picked.filter("instance_id IS NOT NULL").withColumn("_k", F.lit(1)).join(
-        reading.select("passengers").withColumn("_k", F.lit(1)), "_k"
-    ).select("instance_id", F.col("passengers").cast("double").alias("live"))
+    # Both inputs are single rows; stacking them avoids a join without a key.
+    one = picked.select("instance_id", F.lit(None).cast("double").alias("live")).unionByName(
+        reading.select(F.lit(None).cast("string").alias("instance_id"), F.col("passengers").cast("double").alias("live"))
+    )
+    live = one.agg(F.max("instance_id").alias("instance_id"), F.max("live").alias("live")).filter("instance_id IS NOT NULL AND live IS NOT NULL")
     joined = loads.join(live, "instance_id", "left")
     return joined.select(
         "instance_id", "corridor_id",

@@ -373,16 +373,19 @@ def quality_flags(c):
     WITH p AS (SELECT file, len(string_split(trim(line), ' ')) AS n, try_cast(string_split(line, ' ')[1] AS DOUBLE) AS cls, try_cast(string_split(line, ' ')[2] AS DOUBLE) AS x, try_cast(string_split(line, ' ')[3] AS DOUBLE) AS y,
                       try_cast(string_split(line, ' ')[4] AS DOUBLE) AS w, try_cast(string_split(line, ' ')[5] AS DOUBLE) AS h FROM {label_lines}),
     v AS (SELECT *, CASE WHEN n <> 5 THEN 'a' WHEN cls IS NULL OR x IS NULL OR y IS NULL OR w IS NULL OR h IS NULL THEN 'b' WHEN cls < 0 OR cls <> floor(cls) THEN 'c' WHEN x NOT BETWEEN 0 AND 1 OR y NOT BETWEEN 0 AND 1 OR w NOT BETWEEN 0 AND 1 OR h NOT BETWEEN 0 AND 1 THEN 'd' WHEN w <= 0 OR h <= 0 THEN 'e' END AS problem FROM p),
-    g AS (SELECT file, count(CASE WHEN problem IS NULL AND cls = 1 THEN 1 END) AS objects, count(problem) AS broken FROM v GROUP BY file)
+    g AS (SELECT v.file, count(CASE WHEN problem IS NULL AND cls = CASE WHEN substr(o_orderpriority, 1, 1) = '3' THEN 0 ELSE 1 END THEN 1 END) AS objects, count(problem) AS broken FROM v JOIN {orders} ON v.file = concat('img-', CAST(o_orderkey AS VARCHAR)) GROUP BY v.file)
     SELECT concat('img-', CAST(o.o_orderkey AS VARCHAR)) AS file, CASE WHEN o.o_orderpriority = '1-URGENT' THEN 'valid' ELSE 'train' END AS split, coalesce(g.objects, 0) AS objects, coalesce(g.broken, 0) AS broken, g.file IS NULL AS missing,
            count(g.file) OVER (PARTITION BY CASE WHEN o.o_orderpriority = '1-URGENT' THEN 'valid' ELSE 'train' END) AS split_labels
     FROM {orders} o LEFT JOIN g ON g.file = concat('img-', CAST(o.o_orderkey AS VARCHAR))""",
 )
 def label_audit(c):
-    # Class names per data set; "people" is the second class and the only alias hit.
-    names = c.t.region.select(F.lit("set").alias("source"), F.col("r_regionkey").alias("class_id"), F.when(F.col("r_regionkey") == 1, " People").otherwise(F.col("r_name")).alias("class_name"))
-    target = readers.resolve_class(names).select("class_id").withColumn("_k", F.lit(1))
-    parsed = readers.parse_labels(c.t.label_lines).withColumn("_k", F.lit(1)).join(target, "_k")
+    # One class list per data set (a region); "people" and "orang" are the only alias hits.
+    place = F.floor(F.col("n_nationkey") / 5)
+    person = F.when((F.col("n_regionkey") == 2) & (place == 0), " Orang").when((F.col("n_regionkey") != 2) & (place == 1), " People")
+    names = c.t.nation.select(F.col("n_regionkey").alias("source"), place.alias("class_id"), F.coalesce(person, F.col("n_name")).alias("class_name"))
+    target = readers.resolve_class(names)
+    sets = c.t.orders.select(F.concat(F.lit("img-"), F.col("o_orderkey").cast("string")).alias("file"), (F.substring("o_orderpriority", 1, 1).cast("int") - 1).alias("source"))
+    parsed = readers.parse_labels(c.t.label_lines).join(sets, "file").join(target, "source")
     counts = readers.label_counts(parsed, F.col("class_id"))
     images = c.t.orders.select(F.concat(F.lit("img-"), F.col("o_orderkey").cast("string")).alias("file"), F.when(F.col("o_orderpriority") == "1-URGENT", "valid").otherwise("train").alias("split"))
     missing = readers.without_labels(images, counts).withColumn("missing", F.lit(True))
@@ -397,13 +400,22 @@ def label_audit(c):
 @register(
     "table_delta",
     """
-    SELECT id, name, brand, (SELECT count(*) FROM (SELECT DISTINCT brand FROM {static_rows} EXCEPT SELECT DISTINCT brand FROM {live_rows}) d) AS brands_missing FROM {static_rows} s WHERE NOT EXISTS (SELECT 1 FROM {live_rows} l WHERE l.id = s.id AND l.brand = s.brand) AND brand IN ('Brand#1', 'Brand#2', 'Brand#3', 'Brand#4', 'Brand#5', 'Brand#6')""",
+    SELECT id, name, brand FROM {static_rows} s WHERE NOT EXISTS (SELECT 1 FROM {live_rows} l WHERE l.id = s.id AND l.brand = s.brand) AND brand IN ('Brand#1', 'Brand#2', 'Brand#3', 'Brand#4', 'Brand#5', 'Brand#6')""",
 )
 def table_delta(c):
     only = [f"Brand#{n}" for n in range(1, 7)]
     fresh = quality.new_rows(c.t.static_rows, c.t.live_rows, ["id", "brand"], only, "brand")
-    missing = quality.id_differences({"package": c.t.static_rows, "live": c.t.live_rows}, "brand").agg(F.count_if(F.col("present_in") == "package").alias("brands_missing"))
-    return fresh.select("id", "name", "brand").withColumn("_k", F.lit(1)).join(missing.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    return fresh.select("id", "name", "brand")
+
+
+@register(
+    "id_consistency",
+    """
+    WITH a AS (SELECT DISTINCT CAST(size AS VARCHAR) AS id, 'package' AS t FROM {static_rows} UNION ALL SELECT DISTINCT CAST(size AS VARCHAR), 'live' FROM {live_rows})
+    SELECT id, string_agg(t, ',' ORDER BY t) AS present_in FROM a GROUP BY id HAVING count(*) < 2""",
+)
+def id_consistency(c):
+    return quality.id_differences({"package": c.t.static_rows, "live": c.t.live_rows}, "size")
 
 
 @register(
@@ -461,8 +473,8 @@ def gtfs_csv_roundtrip(c):
     sinks.write_csv(c.t.feed_stop_times, f"{base}/stop_times", ["trip_id", "stop_sequence", "stop_id", "arrival_time", "departure_time", "pickup_type"])
     sinks.write_json(c.t.feed_trips.groupBy("route_id").agg(F.count(F.lit(1)).alias("trips")), f"{base}/summary")
     back = readers.read_feed(c.spark, f"{base}/stop_times", "trip_id STRING, stop_sequence INT, stop_id STRING, arrival_time STRING, departure_time STRING, pickup_type STRING")
-    trips = c.spark.read.schema("route_id STRING, trips BIGINT").json(f"{base}/summary").agg(F.sum("trips").alias("trips"))
-    return back.withColumn("_k", F.lit(1)).join(trips.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    summary = c.spark.read.schema("route_id STRING, trips BIGINT").json(f"{base}/summary")
+    return back.join(c.t.feed_trips.select("trip_id", "route_id"), "trip_id").join(summary, "route_id")
 
 
 @register("latest_file")
