@@ -106,7 +106,7 @@ def spacing_summary(gaps: DataFrame) -> DataFrame:
 
 
 def closest_pairs(gaps: DataFrame, keep: int = 5) -> DataFrame:
-    w = Window.partitionBy("time", *LINE).orderBy("progress_gap", "departure_gap", "instance_id")
+    w = Window.partitionBy("time", *LINE).orderBy(F.round("progress_gap", 9), "departure_gap", "instance_id")
     return gaps.filter("behind IS NOT NULL").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= keep)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from transitloom.session import cut
+from transitloom.session import cut, load, store_counted
 
 
 def connected_groups(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -24,12 +24,10 @@ def connected_groups(nodes: DataFrame, links: DataFrame) -> DataFrame:
             "node", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label")
         )
         further = lowered.select(F.col("node").alias("_n"), F.col("label").alias("_l"))
-        updated = cut(
-            lowered.join(further, lowered["label"] == further["_n"], "left").select(
-                "node", "old", F.least("label", F.coalesce("_l", "label")).alias("label")
-            )
+        updated = lowered.join(further, lowered["label"] == further["_n"], "left").select(
+            "node", "old", F.least("label", F.coalesce("_l", "label")).alias("label")
         )
-        changed = updated.filter("label <> old").limit(1).count()
-        labels = updated.select("node", "label")
+        path, changed = store_counted(updated, F.col("label") != F.col("old"))
+        labels = load(nodes.sparkSession, updated.schema, path).select("node", "label")
         if not changed:
             return labels

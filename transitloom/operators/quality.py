@@ -84,7 +84,7 @@ def near_duplicates(rows: DataFrame, key: str, high: str, low: str, threshold: i
     two rank cells of ``window`` rows each, by equi-join; nothing is collected. The heavy side is
     spread over 16 salts because many dropped rows may share a cell.
     """
-    from transitloom.session import cut
+    from transitloom.session import cut, load, store_counted
 
     base = cut(number_rows(rows.select(F.lit(0).alias("_all"), key, F.col(high).alias("hi"), F.col(low).alias("lo")).withColumn("_b", F.floor(F.col(key) / 4096)), ["_all"], [key], "_b", "idx").drop("_all", "_b"))
     state = base.select("idx", F.lit(True).alias("kept"))
@@ -106,8 +106,10 @@ def near_duplicates(rows: DataFrame, key: str, high: str, low: str, threshold: i
         bits = F.bit_count(F.col("hi").bitwiseXOR(F.col("khi"))) + F.bit_count(F.col("lo").bitwiseXOR(F.col("klo")))
         near = probes.join(holders, ["cell", "salt"]).filter((F.col("krank") < F.col("rank")) & (F.col("krank") >= F.col("rank") - window))
         found = near.withColumn("bits", bits).filter(F.col("bits") <= threshold).groupBy("idx").agg(F.min(F.struct("bits", "krank", "kept_id")).alias("n"))
-        decided = cut(ranked.select("idx", key, F.col("kept").alias("was")).join(found, "idx", "left").withColumn("kept", F.col("n").isNull()))
-        if decided.filter("kept <> was").isEmpty():
+        verdict = ranked.select("idx", key, F.col("kept").alias("was")).join(found, "idx", "left").withColumn("kept", F.col("n").isNull())
+        path, changed = store_counted(verdict, F.col("kept") != F.col("was"))
+        decided = load(rows.sparkSession, verdict.schema, path)
+        if not changed:
             return decided.select(
                 key, F.when(F.col("kept"), "kept").otherwise("near_duplicate").alias("status"), F.col("n.kept_id").alias("similar_to"), F.col("n.bits").alias("bits")
             )

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from transitloom import constants as C
 from transitloom.functions.sequences import collapse_runs, revisits
 from transitloom.operators.ordered import number_rows
-from transitloom.session import cut, load, store
+from transitloom.session import cut, load, store_counted
 
 STATE = ["search_id", "stop", "corridor"]
 
@@ -57,12 +57,11 @@ def best_routes(searches: DataFrame, moves: DataFrame, max_transfers: int = C.MA
             no_worse = (F.col("_transfers") <= F.col("transfers")) & (F.col("_cost") <= F.col("cost"))
             best = best.join(seen, same_state & no_worse, "left_anti")
         schema = best.schema
-        path = store(best)
-        frontier = load(spark, schema, path)
-        if frontier.isEmpty():
+        path, grew = store_counted(best)
+        if not grew:
             break
         written.append(path)
-        frontier = frontier.filter(F.col("stop") != F.col("destination"))
+        frontier = load(spark, schema, path).filter(F.col("stop") != F.col("destination"))
     found = load(spark, schema, *(written or [path]))
     return cut(_cheapest(found.filter(F.col("stop") == F.col("destination"))))
 

@@ -53,19 +53,20 @@ class Context:
 
     @cached_property
     def template(self) -> DataFrame:
-        return timetable.template_stops(self.t.stop_times, self.t.stops)
+        return self.step("template", lambda: timetable.template_stops(self.t.stop_times, self.t.stops))
 
     @cached_property
     def matched(self) -> DataFrame:
-        return timetable.match_segments(self.template, self.t.trips, self.t.segments)
+        return self.step("matched", lambda: timetable.match_segments(self.template, self.t.trips, self.t.segments))
 
     @cached_property
     def patterns(self) -> DataFrame:
-        return timetable.service_patterns(self.frequencies, self.template, timetable.match_summary(self.matched))
+        summary = timetable.match_summary(self.matched)
+        return self.step("patterns", lambda: timetable.service_patterns(self.frequencies, self.template, summary))
 
     @cached_property
     def ranked(self) -> DataFrame:
-        return self.step("ranked", lambda: timetable.rank_members(timetable.group_patterns(self.step("patterns", lambda: self.patterns))))
+        return self.step("ranked", lambda: timetable.rank_members(timetable.group_patterns(self.patterns)))
 
     @cached_property
     def selected(self) -> DataFrame:
@@ -77,11 +78,11 @@ class Context:
 
     @cached_property
     def visits(self) -> DataFrame:
-        return timetable.instance_stops(self.instances, self.step("template", lambda: self.template))
+        return timetable.instance_stops(self.instances, self.template)
 
     @cached_property
     def hops(self) -> DataFrame:
-        return timetable.instance_hops(self.visits, self.step("matched", lambda: self.matched))
+        return timetable.instance_hops(self.visits, self.matched)
 
     @cached_property
     def loads(self) -> DataFrame:

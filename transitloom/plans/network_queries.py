@@ -275,3 +275,12 @@ SCOPE_TEN = [str(n) for n in range(1, 11)]
 )
 def scope_map(c):
     return scenario.scope_map(c.t.catalog, c.t.lines_of_stop, SCOPE_TEN).groupBy("o_lines", "d_lines", "in_scope").agg(F.count(F.lit(1)).alias("pairs"))
+
+
+@register(
+    "synthetic_members",
+    """
+    SELECT DISTINCT t.route_id AS corridor_id, st.stop_id FROM {stop_times} st JOIN {trips} t ON t.trip_id = st.trip_id WHERE NOT EXISTS (SELECT 1 FROM {lines_of_stop} l WHERE l.stop_id = st.stop_id)""",
+)
+def synthetic_members(c):
+    return network.augment_segments(c.t.segments, c.t.lines_of_stop, c.t.stop_times, c.t.trips, c.t.stops)[1]

@@ -103,7 +103,7 @@ def service_patterns(c):
     FROM {o_overlap}""",
 )
 def pattern_overlap(c):
-    pairs = timetable.overlapping_signatures(c.step("patterns", lambda: c.patterns))
+    pairs = timetable.overlapping_signatures(c.patterns)
     return pairs.select(
         "short", "long", r("overlap").alias("overlap"),
         timetable.relate(F.col("sig_short"), F.col("sig_long"), F.col("overlap")).alias("decision"),
@@ -154,7 +154,7 @@ def trip_instances(c):
     LEFT JOIN gen g ON g.corridor_id = p.corridor_id AND g.direction_id = p.direction_id""",
 )
 def generation_audit(c):
-    return audit.generation_audit(c.step("patterns", lambda: c.patterns), c.selected, c.instances)
+    return audit.generation_audit(c.patterns, c.selected, c.instances)
 
 
 @register(
@@ -178,7 +178,7 @@ def generation_audit(c):
     UNION ALL SELECT 'total_active_trip_instances_outside_sanity_range', time, n::DOUBLE FROM act WHERE n < 40 OR n > 180""",
 )
 def merge_warnings(c):
-    return audit.merge_warnings(c.step("patterns", lambda: c.patterns), c.ranked, c.instances).withColumn("value", r("value"))
+    return audit.merge_warnings(c.patterns, c.ranked, c.instances).withColumn("value", r("value"))
 
 
 @register(
@@ -242,3 +242,31 @@ def spacing_audit(c):
     for name, digits in [("min_progress_gap", 5), ("median_progress_gap", 5), ("min_distance_gap", 3), ("median_distance_gap", 3)]:
         summary = summary.withColumn(name, r(name, digits))
     return summary
+
+
+@register(
+    "top_contributors",
+    """
+    SELECT corridor_id, direction_id, trip_id, service_headway, duration, round(duration::DOUBLE / service_headway, 6) AS estimated_active, CAST(rank AS INT) AS rank FROM (
+      SELECT *, row_number() OVER (PARTITION BY corridor_id, direction_id ORDER BY duration::DOUBLE / service_headway DESC, service_headway, trip_id) AS rank FROM {o_selected}) x WHERE rank <= 10""",
+)
+def top_contributors(c):
+    return audit.top_contributors(c.selected).select(
+        "corridor_id", "direction_id", "trip_id", "service_headway", "duration", r("estimated_active").alias("estimated_active"), "rank"
+    )
+
+
+@register(
+    "closest_pairs",
+    f"""
+    WITH st AS ({STATES_SQL}),
+    g AS (SELECT time, corridor_id, direction_id, instance_id, lag(instance_id) OVER w AS behind, progress - lag(progress) OVER w AS pg, abs(departure - lag(departure) OVER w) AS dg
+          FROM st WINDOW w AS (PARTITION BY time, corridor_id, direction_id ORDER BY progress, departure, instance_id))
+    SELECT time, corridor_id, direction_id, behind, instance_id, round(pg, 5) AS progress_gap, dg AS departure_gap FROM (
+      SELECT *, row_number() OVER (PARTITION BY time, corridor_id, direction_id ORDER BY round(pg, 9), dg, instance_id) AS rn FROM g WHERE behind IS NOT NULL) z WHERE rn <= 5""",
+)
+def closest_pairs(c):
+    from transitloom.operators.lookup import vehicle_states
+
+    gaps = audit.spacing_gaps(vehicle_states(c.visits, c.hops, C.SAMPLE_TIMES))
+    return audit.closest_pairs(gaps).select("time", "corridor_id", "direction_id", "behind", "instance_id", r("progress_gap", 5).alias("progress_gap"), "departure_gap")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 
 def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -39,6 +39,13 @@ def store(df: DataFrame) -> str:
     return path
 
 
+def store_counted(df: DataFrame, count: Column | None = None) -> tuple[str, int]:
+    """Like ``store``; also returns the number of rows (or of rows where ``count`` holds), observed while writing."""
+    seen = Observation()
+    metric = F.count(F.lit(1)) if count is None else F.count_if(count)
+    return store(df.observe(seen, metric.alias("n"))), int(seen.get["n"])
+
+
 def load(spark: SparkSession, schema, *paths: str) -> DataFrame:
     return spark.read.schema(schema).parquet(*paths)
 
