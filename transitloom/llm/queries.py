@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from transitloom.llm import exact_dedup, ngram_join
+from transitloom.llm import exact_dedup, ngram_join, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -58,3 +58,21 @@ def exact_dedup_query(spark: SparkSession, folder: str) -> DataFrame:
 )
 def ngram_join_query(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.components_report(table(spark, folder, "documents"))
+
+
+@register(
+    "op5_substring_dedup",
+    f"""
+    WITH w AS (SELECT doc_id, {_WORDS.format(text="coalesce(text, '')")} AS words FROM documents),
+    k AS (SELECT doc_id, unnest(range(1, len(words) - 48)) AS i, words FROM w WHERE len(words) >= 50),
+    h AS (SELECT doc_id, i, md5(array_to_string(words[i : i + 49], ' ')) AS win FROM k),
+    c AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY win) AS low FROM h),
+    g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS i FROM c WHERE low < doc_id),
+    r AS (SELECT doc_id, list(i) AS gone FROM g GROUP BY doc_id)
+    SELECT doc_id, len(words) AS n_words, coalesce(len(gone), 0) AS n_removed,
+      sha256(array_to_string(CASE WHEN gone IS NULL THEN words ELSE list_transform(list_filter(range(1, len(words) + 1), lambda i: NOT list_contains(gone, i)), lambda i: words[i]) END, ' ')) AS kept_sha256
+    FROM w LEFT JOIN r USING (doc_id)
+    """,
+)
+def substring_dedup_query(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dedup.removal_report(table(spark, folder, "documents"))
