@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from transitloom.llm import exact_dedup, ngram_join, substring_dedup
+from transitloom.llm import bpe, exact_dedup, ngram_join, packing, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -19,6 +19,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def tokenizer_path() -> str:
+    """The vocabulary of the contract; operators take the path as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def register(name: str, sql: str | None = None):
     def wrap(build: Callable[[SparkSession, str], DataFrame]):
         QUERIES[name] = build
@@ -76,3 +83,13 @@ def ngram_join_query(spark: SparkSession, folder: str) -> DataFrame:
 )
 def substring_dedup_query(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.removal_report(table(spark, folder, "documents"))
+
+
+@register("op4_packing")
+def packing_query(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.packing_report(table(spark, folder, "documents"), tokenizer_path())
+
+
+@register("op7_bpe_roundtrip")
+def bpe_query(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.roundtrip_report(table(spark, folder, "documents"), tokenizer_path())
