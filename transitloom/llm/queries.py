@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from transitloom.llm import bpe, exact_dedup, ngram_join, packing, substring_dedup
+from transitloom.llm import bpe, exact_dedup, ngram_join, packing, substring_dedup, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -93,3 +93,16 @@ def packing_query(spark: SparkSession, folder: str) -> DataFrame:
 @register("op7_bpe_roundtrip")
 def bpe_query(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.roundtrip_report(table(spark, folder, "documents"), tokenizer_path())
+
+
+@register(
+    "op9_warc",
+    """
+    WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+    m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS top FROM p)
+    SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+      CASE WHEN payload_bytes >= 1000 AND page_id < top THEN top END AS refers_to FROM m
+    """,
+)
+def warc_query(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.archive_report(table(spark, folder, "pages"))
