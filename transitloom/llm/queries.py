@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from transitloom.llm import bpe, exact_dedup, ngram_join, packing, substring_dedup, warc
+from transitloom.llm import bpe, exact_dedup, neighbours, ngram_join, packing, substring_dedup, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -106,3 +106,8 @@ def bpe_query(spark: SparkSession, folder: str) -> DataFrame:
 )
 def warc_query(spark: SparkSession, folder: str) -> DataFrame:
     return warc.archive_report(table(spark, folder, "pages"))
+
+
+@register("op3_hilbert_neighbours")
+def neighbours_query(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.neighbour_report(table(spark, folder, "embeddings"))
