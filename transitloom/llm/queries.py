@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from transitloom.llm import bpe, exact_dedup, neighbours, ngram_join, packing, substring_dedup, warc
+from transitloom.llm import bpe, exact_dedup, neighbours, ngram_join, packing, quality, substring_dedup, token_counts, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -111,3 +111,18 @@ def warc_query(spark: SparkSession, folder: str) -> DataFrame:
 @register("op3_hilbert_neighbours")
 def neighbours_query(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.neighbour_report(table(spark, folder, "embeddings"))
+
+
+@register("op1_weak_label_quality")
+def quality_query(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.quality_report(table(spark, folder, "documents"))
+
+
+@register("op8_token_rollups")
+def rollup_query(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.rollup_report(table(spark, folder, "documents"), tokenizer_path())
+
+
+@register("op10_compression_toxicity")
+def toxicity_query(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity_report(table(spark, folder, "documents"), table(spark, folder, "labels"))
