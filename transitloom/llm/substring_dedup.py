@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from transitloom.llm.bloom import Bloom, hit
 from transitloom.llm.groups import with_totals
@@ -222,7 +222,10 @@ class Repeats:
         cold = strings.where("NOT crowded").select("hash", "packed", "first").repartition("hash").sortWithinPartitions("hash").mapInArrow(_sorted_bucket(window), runs_schema)
         exploded = strings.where("crowded").select("packed", "first").mapInArrow(_digests(window), "digest binary, key binary, at long, first long")
         warm = with_totals(exploded, ["digest"], F.xxhash64("key", "at"), {"_m": F.min("first")}, {"smallest": F.min("_m")})
-        runs = cold.union(warm.select("key", "at", F.lit(1).cast("long").alias("n"), F.col("smallest").alias("first")))
+        # Neighbouring windows with one smallest id become one run again, so that a place meets few rows.
+        turn = F.row_number().over(Window.partitionBy("key", "smallest").orderBy("at"))
+        warm = warm.select("key", "smallest", "at", (F.col("at") - turn).alias("_g")).groupBy("key", "smallest", "_g").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("n"))
+        runs = cold.union(warm.select("key", "at", "n", F.col("smallest").alias("first")))
         places = step.where("start IS NOT NULL").select("id", "key", "start")
         cuts = places.join(runs, "key").where("first < id").select("id", (F.col("start") + F.col("at")).alias("start"), (F.col("n") + (window - 1)).alias("length"))
         spans = cuts.groupBy("id").agg(F.collect_set(F.struct("start", "length")).alias("spans"))
