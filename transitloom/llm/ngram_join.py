@@ -72,6 +72,43 @@ def shingle_levels(docs: DataFrame, text_col: str, width: int):
     return docs.sparkSession.sparkContext.broadcast(np.ceil(np.log2(counts + 1)).astype(np.uint8).tobytes())
 
 
+def _spread(own: np.ndarray) -> bytes | None:
+    """How many hashes fall into each of equal ranges; the ranges halve with the set size, so any two can be folded together."""
+    bits = 6 if len(own) < 512 else 8 if len(own) < 4096 else 10
+    counts = np.bincount((own >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return counts.astype("<u2").tobytes() if counts.max() < 1 << 16 else None
+
+
+def _possible(num: int, den: int):
+    """Keeps pairs that may reach num / den: no more hashes can be common than the smaller count of each range."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for na, nb, x, y in zip(*(c.to_pylist() for c in batch.columns[2:])):
+                if x is None or y is None:
+                    keep.append(True)
+                    continue
+                x, y = np.frombuffer(x, "<u2"), np.frombuffer(y, "<u2")
+                size = min(len(x), len(y))
+                most = int(np.minimum(x.reshape(size, -1).sum(axis=1), y.reshape(size, -1).sum(axis=1)).sum())
+                keep.append(den * most >= num * (na + nb - most))
+            mask = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
+
+    return run
+
+
+def _likely(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """Drops pairs that sizes and counts by range rule out, before any text is moved."""
+    own = classes.select("class_id", "n", "spread")
+    left = own.select(F.col("class_id").alias("a"), F.col("n").alias("na"), F.col("spread").alias("sa"))
+    right = own.select(F.col("class_id").alias("b"), F.col("n").alias("nb"), F.col("spread").alias("sb"))
+    met = pairs.join(left, "a").join(right, "b").where(f"{den} * least(na, nb) >= {num} * greatest(na, nb)")
+    kind = pairs.schema["a"].dataType.simpleString()
+    return met.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_possible(num, den), f"a {kind}, b {kind}")
+
+
 def _prefixes(width: int, num: int, den: int, levels):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = np.frombuffer(levels.value, np.uint8)
@@ -81,18 +118,18 @@ def _prefixes(width: int, num: int, den: int, levels):
                 for own in shingle_sets(block, width):
                     n = len(own)
                     if not n:
-                        rows.append((0, 0, 0, 0, None))
+                        rows.append((0, 0, 0, 0, None, None))
                         continue
                     length = n - -(-num * n // den) + 1
                     order = np.lexsort((own, level[(own >> np.uint64(44)).astype(np.int64)]))[:length]
                     prefix = own[order]
                     sums = [int(mix(own + np.uint64(k)).sum(dtype=np.uint64).view(np.int64)) for k in (1, 2)]
                     head = int(mix(np.sort(prefix) + np.uint64(3)).sum(dtype=np.uint64).view(np.int64))
-                    rows.append((n, *sums, head, as_long(prefix)))
-            n, d1, d2, head, prefix = zip(*rows) if rows else ((),) * 5
+                    rows.append((n, *sums, head, as_long(prefix), _spread(own)))
+            n, d1, d2, head, prefix, spread = zip(*rows) if rows else ((),) * 6
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(head, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))],
-                names=["id", "n", "d1", "d2", "head", "prefix"],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(head, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(spread, pa.binary())],
+                names=["id", "n", "d1", "d2", "head", "prefix", "spread"],
             )
 
     return run
@@ -135,33 +172,32 @@ def jaccard_classes(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5,
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     levels = shingle_levels(narrow, "text", width)
     kind = narrow.schema["id"].dataType.simpleString()
-    sets = cut(narrow.mapInArrow(_prefixes(width, num, den, levels), f"id {kind}, n long, d1 long, d2 long, head long, prefix array<long>"))
+    sets = cut(narrow.mapInArrow(_prefixes(width, num, den, levels), f"id {kind}, n long, d1 long, d2 long, head long, prefix array<long>, spread binary"))
 
     full = sets.where("n > 0 AND id IS NOT NULL")
     members = cut(with_totals(full.select("id", "n", "d1", "d2"), ["n", "d1", "d2"], F.col("id"), {"_m": F.min("id")}, {"class_id": F.min("_m")}).select("id", "n", "class_id"))
     firsts = members.where("id = class_id").select("class_id").distinct()
-    classes = full.select("id", "n", "head", "prefix").join(firsts.withColumnRenamed("class_id", "id"), "id", "left_semi").dropDuplicates(["id"])
+    classes = full.select("id", "n", "head", "prefix", "spread").join(firsts.withColumnRenamed("class_id", "id"), "id", "left_semi").dropDuplicates(["id"])
     grouped = with_totals(classes, ["n", "head"], F.col("id"), {"_m": F.min("id")}, {"group_id": F.min("_m")})
-    classes = cut(grouped.select(F.col("id").alias("class_id"), "n", "group_id", F.when(F.col("id") == F.col("group_id"), F.col("prefix")).alias("prefix")))
+    classes = cut(grouped.select(F.col("id").alias("class_id"), "n", "group_id", "spread", F.when(F.col("id") == F.col("group_id"), F.col("prefix")).alias("prefix")))
     postings = classes.where("prefix IS NOT NULL").select("group_id", "n", F.size("prefix").alias("length"), F.posexplode("prefix").alias("place", "token"))
     tokens = postings.groupBy("token").agg(F.min("group_id").alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1")
     shared = cut(postings.join(tokens.select("token", "hub"), "token").select("token", "hub", "group_id", "n", "place"))
 
+    # Both places of the shared shingle bound what can be common (see _unsettled, which meets pairs that are first met elsewhere).
+    hubs = shared.where("hub = group_id").select("token", F.col("n").alias("hn"), F.col("place").alias("hp"))
+    need = f"ceil({num} * (n + hn) / {num + den})"
     stars = (
-        shared.where("hub <> group_id").select(F.col("hub").alias("a"), F.col("group_id").alias("b"))
+        shared.where("hub <> group_id").join(hubs, "token").where(f"least(n - place, hn - hp) >= {need}").select(F.col("hub").alias("a"), F.col("group_id").alias("b"))
         .union(classes.where("class_id <> group_id").select(F.col("group_id").alias("a"), F.col("class_id").alias("b"))).distinct()
     )
-    sizes = classes.select("class_id", "n")
-    stars = (
-        stars.join(sizes.select(F.col("class_id").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("class_id").alias("b"), F.col("n").alias("nb")), "b")
-        .where(f"{den} * least(na, nb) >= {num} * greatest(na, nb)").select("a", "b")
-    )
+    stars = _likely(stars, classes, num, den)
     path, count = store_counted(stars)
     stars = load(spark, stars.schema, path)
     links = cut(verify(stars, count, narrow, width, num, den))
     labels = cut(components(classes.select(F.col("class_id").alias("node")), links))
 
-    rest = _unsettled(classes, shared, labels, num, den).join(stars, ["a", "b"], "left_anti")
+    rest = _likely(_unsettled(classes, shared, labels, num, den), classes, num, den).join(stars, ["a", "b"], "left_anti")
     path, count = store_counted(rest)
     if count:
         more = cut(verify(load(spark, rest.schema, path), count, narrow, width, num, den))
