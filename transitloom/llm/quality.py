@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from transitloom.llm.text import Block, blocks, mix
 from transitloom.session import cut
 
-LABELLERS = ("upper case", "marks in words", "bare marks", "same word again", "few different words", "word length", "empty", "marks among letters", "marks at word ends")
+LABELLERS = ("upper case", "marks in words", "bare marks", "same word again", "few different words", "word length", "empty", "marks among letters", "marks at word ends", "upper case among letters")
 DIMS = 1 << 13
 SAMPLE = 6000
 KEEP = 0.3  # only what is clearly bad goes
@@ -73,6 +73,7 @@ def votes(block: Block) -> np.ndarray:
     total = np.maximum(_sums(size, at), 1)
     vote(7, _sums(marks, at) / total, lambda v: v > 0.08, lambda v: v < 0.02)
     vote(8, _sums((kind[ends - 1] == 5) & (size > 1), at) / n, lambda v: v > 0.2, lambda v: v < 0.05)
+    vote(9, _sums(upper, at) / np.maximum(_sums(ascii_letters, at), 1), lambda v: v > 0.3, lambda v: v < 0.1)
     out[empty] = 0
     out[:, 6] = np.where(empty, -1, np.where(np.diff(at) >= 20, 1, 0))
     return out
