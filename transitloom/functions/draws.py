@@ -17,6 +17,13 @@ def stable_hash(*parts: Column) -> Column:
     return F.conv(F.substring(F.sha2(text, 256), 1, 13), 16, 10).cast("bigint")
 
 
+def pick(n: Column, *parts: Column) -> Column:
+    """The first 16 hex digits of the same digest, as an unsigned number, modulo ``n`` (under 2 ** 31)."""
+    text = F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("None")) for p in parts])
+    half = lambda start: F.conv(F.substring(F.sha2(text, 256), start, 8), 16, 10).cast("bigint")
+    return F.pmod(F.pmod(half(1), n) * F.pmod(F.lit(1 << 32), n) + half(9), n)
+
+
 def uniform(*parts: Column) -> Column:
     return (stable_hash(*parts) + 0.5) / float(2**52)
 
@@ -40,12 +47,6 @@ def poisson_cdf(lam: float) -> list[float]:
         term *= lam / k
 
 
-def scaled_lambdas() -> list[float]:
-    """The Poisson means in use: every band weight and the segment mean, times the scale factor."""
-    weights = sorted({band[3] for band in C.TIME_BANDS} | {C.SEGMENT_LAMBDA})
-    return [w * C.POISSON_SCALE for w in weights]
-
-
 def _inverse(u: Column, cdf: list[float]) -> Column:
     """Number of steps below ``u``: its place among the sorted steps.
 

@@ -99,9 +99,6 @@ def base_name(text: Column) -> Column:
     return F.regexp_replace(single, r"(^| )\d+$", "")
 
 
-def half_even(x: Column, digits: int = 0) -> Column:
-    return F.bround(x, digits)
-
 
 def minutes(seconds: Column) -> Column:
     """Whole minutes, ties to even."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from transitloom import constants as C
-from transitloom.functions.draws import clamped_normal, stable_hash
+from transitloom.functions.draws import clamped_normal, pick
 from transitloom.functions.scalar import band_name, band_weight, clamp_load, day_type
 
 def branch_counts(sheet: DataFrame) -> DataFrame:
@@ -52,8 +52,8 @@ def sampled_dates(riders: DataFrame, run_id: Column, keep: int = C.RIDERSHIP_SAM
     """One date per corridor: stable hash of the run modulo the number of recent dates."""
     recent = recent_dates(riders, keep)
     counts = recent.groupBy("corridor_id").agg(F.count(F.lit(1)).alias("_n"))
-    pick = F.pmod(stable_hash(F.lit("ridership_sample_30"), run_id, F.col("corridor_id")), F.col("_n"))
-    return counts.withColumn("rank", pick.cast("int")).join(recent, ["corridor_id", "rank"]).select("corridor_id", "date")
+    place = pick(F.col("_n"), F.lit("ridership_sample_30"), run_id, F.col("corridor_id"))
+    return counts.withColumn("rank", place.cast("int")).join(recent, ["corridor_id", "rank"]).select("corridor_id", "date")
 
 
 def resolve_ridership(riders: DataFrame, corridors: DataFrame, date: str | None, run_id: str) -> DataFrame:
@@ -130,11 +130,18 @@ def band_summary(loads: DataFrame) -> DataFrame:
     return frame.join(found, ["corridor_id", "band"], "left").fillna({"trips": 0, **zero})
 
 
-def segment_loads(hops: DataFrame, loads: DataFrame, run_id: str) -> DataFrame:
+def ridden_segments(hops: DataFrame, instances: DataFrame, matched: DataFrame | None) -> DataFrame:
+    """Segments of every instance. A trip without any matched hop has all segments of its line, without times."""
+    rows = hops.filter("segment_id IS NOT NULL").select("instance_id", "corridor_id", "pos", "segment_id", "dep", "next_arr")
+    if matched is None:
+        return rows
+    whole = instances.select("instance_id", "trip_id").join(matched.filter("fallback").select("trip_id", "corridor_id", "segment_id"), "trip_id")
+    return rows.unionByName(whole.drop("trip_id"), allowMissingColumns=True)
+
+
+def segment_loads(hops: DataFrame, loads: DataFrame, run_id: str, matched: DataFrame | None = None) -> DataFrame:
     """Load per (instance, hop): noise around the trip load, rescaled so the trip mean is kept."""
-    rows = hops.filter("segment_id IS NOT NULL").select("instance_id", "corridor_id", "pos", "segment_id", "dep", "next_arr").join(
-        loads.select("instance_id", "load", "used_date"), "instance_id"
-    )
+    rows = ridden_segments(hops, loads, matched).join(loads.select("instance_id", "load", "used_date"), "instance_id")
     day = F.date_format("used_date", "yyyy-MM-dd")
     factor = clamped_normal(1.0, 0.10, 0.80, 1.20, day, F.col("corridor_id"), F.col("instance_id"), F.col("segment_id"), F.lit(run_id))
     trip = Window.partitionBy("instance_id")
@@ -187,7 +194,7 @@ def borrow_loads(vehicles: DataFrame, loads: DataFrame, second: int) -> DataFram
     numbered = number_rows(pool, ["corridor_id"], ["instance_id"], "_b", "slot").drop("_b")
     counts = pool.groupBy("corridor_id").agg(F.count(F.lit(1)).alias("_n"))
     wanted = vehicles.select("bus_id", "corridor_id").distinct().join(counts, "corridor_id").withColumn(
-        "slot", F.pmod(stable_hash(F.col("bus_id"), F.col("corridor_id"), band), F.col("_n")) + 1
+        "slot", pick(F.col("_n"), F.col("bus_id"), F.col("corridor_id"), band) + 1
     )
     return wanted.join(numbered, ["corridor_id", "slot"]).select(
         "bus_id", "corridor_id", "instance_id", clamp_load(F.col("load")).alias("density")

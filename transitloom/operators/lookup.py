@@ -92,6 +92,12 @@ def live_pick(instances: DataFrame, corridor: str, direction: str, second: int)
     ).select(F.col("best.instance_id").alias("instance_id"))
 
 
+def fresh_reading(readings: DataFrame, now_ms: Column, ttl_ms: int = C.LIVE_TTL_SECS * 1000) -> DataFrame:
+    """The newest head count, or no row when it is older than ``ttl_ms`` at ``now_ms`` (an aggregate over the readings)."""
+    newest = readings.agg(F.max(F.struct("ms", "event_id", "passengers")).alias("n"), now_ms.alias("now"))
+    return newest.filter(F.col("now") - F.col("n.ms") <= ttl_ms).select("n.passengers")
+
+
 def overlay_live(loads: DataFrame, picked: DataFrame, reading: DataFrame) -> DataFrame:
     """Replaces the modelled load of the picked instance by the live head count, when there is a fresh one."""
     # Both inputs are single rows; stacking them avoids a join without a key.

@@ -67,8 +67,9 @@ def latency_rows(messages: DataFrame) -> DataFrame:
     rows = messages.withColumn("_j", F.when(F.col("payload").rlike(r"^\s*\{"), parsed))
     stamp = F.col("_j.timestamp").try_cast("bigint")
     valid_stamp = (stamp >= C.EPOCH_MS_MIN) & (stamp < C.EPOCH_MS_MAX)
-    rows = rows.withColumn("device_ms", F.when(valid_stamp, stamp)).withColumn("_img", F.regexp_replace("_j.image", r"^data:", "data:"))
-    blob = F.try_to_binary(F.col("_img"), F.lit("base64"))
+    rows = rows.withColumn("device_ms", F.when(valid_stamp, stamp))
+    # A data URI is not Base64 and thus an invalid image here.
+    blob = F.try_to_binary(F.col("_j.image"), F.lit("base64"))
     raw = F.col("received_ms") - F.col("device_ms")
     corrected = raw + F.col("offset_ms")
     status = (
@@ -239,11 +240,12 @@ def assemble_chunks(chunks: DataFrame) -> DataFrame:
         F.sort_array(F.collect_list(F.when(F.col("hit").isNotNull(), F.struct("chunk_index", "hit.body")))).alias("_parts"),
     )
     whole = F.col("present") == F.col("first_header.total_chunks")
+    empty = F.lit("").cast(chunks.schema["body"].dataType)  # bodies are bytes; text serves as well
     in_time = F.col("broken_at").isNull() | (F.col("done_at") < F.col("broken_at"))
     status = F.when(whole & in_time, "completed").when(F.col("broken_at").isNotNull(), "dropped").otherwise("expired")
     invalid = checked.filter("NOT valid").groupBy("frame_id").agg(F.count(F.lit(1)).alias("invalid"))
     out = frames.withColumn("status", status).withColumn(
-        "body", F.when(F.col("status") == "completed", F.array_join(F.transform("_parts", lambda p: p["body"]), ""))
+        "body", F.when(F.col("status") == "completed", F.aggregate("_parts", empty, lambda whole, p: F.concat(whole, p["body"])))
     )
     joined = out.select("frame_id", "status", "present", F.col("first_header.total_chunks").alias("total_chunks"), "duplicates", "body").join(invalid, "frame_id", "full")
     return joined.fillna({"invalid": 0, "status": "invalid", "present": 0, "duplicates": 0})
@@ -269,8 +271,11 @@ def box_counts(detections: DataFrame, width: int, height: int) -> DataFrame:
 
 
 def count_metrics(counts: DataFrame, truth: DataFrame) -> DataFrame:
-    """Error, absolute error and accuracy of predicted counts; images without ground truth are flagged."""
-    joined = counts.join(truth, "image", "left")
+    """Error, absolute error and accuracy of predicted counts.
+
+    Images without any detection count as 0; images without ground truth are flagged.
+    """
+    joined = counts.join(truth, "image", "full").fillna({"predicted": 0})
     error = F.col("predicted") - F.col("actual")
     accuracy = F.when((F.col("actual") == 0) & (F.col("predicted") == 0), 100.0).when(F.col("actual") == 0, 0.0).otherwise((1 - F.abs(error) / F.col("actual")) * 100)
     return joined.select(
@@ -282,16 +287,19 @@ def count_metrics(counts: DataFrame, truth: DataFrame) -> DataFrame:
 def threshold_sweep(detections: DataFrame, truth: DataFrame, thresholds: list[float], sizes: list[int], width: int, height: int) -> DataFrame:
     """Accuracy summary of every (threshold, input size) configuration over all images.
 
-    Counts for all thresholds come from one aggregate per image; the configurations are unfolded on
-    the per-image rows only. A larger input size lowers the smallest area that still counts.
+    The valid boxes of an image become a histogram over the thresholds they pass (one map-side combined
+    aggregate), and configurations are unfolded from it, so plan and code do not grow with the grid.
+    Every image with ground truth takes part; one without detections counts as 0.
     """
-    scale = {s: C.BOX_MIN_AREA * (640.0 / s) for s in sizes}
-    grid = [(t, s) for t in thresholds for s in sizes]
-    wide = detections.groupBy("image").agg(*[
-        F.count_if((F.col("conf") >= t) & (box_verdict(width, height, min_area=scale[s]) == "ok")).alias(f"c{i}") for i, (t, s) in enumerate(grid)
-    ])
-    configs = F.array(*[F.struct(F.lit(t).alias("conf"), F.lit(s).alias("imgsz"), F.col(f"c{i}").alias("predicted")) for i, (t, s) in enumerate(grid)])
-    rows = count_metrics(wide.select("image", F.explode(configs).alias("c")).select("image", "c.*"), truth)
+    steps = F.array(*[F.lit(t) for t in sorted(thresholds)])
+    passed = F.size(F.filter(steps, lambda t: F.col("conf") >= t))
+    per_image = detections.filter(box_verdict(width, height) == "ok").groupBy("image", passed.alias("passed")).agg(F.count(F.lit(1)).alias("n"))
+    per_image = per_image.groupBy("image").agg(F.collect_list(F.struct("passed", "n")).alias("_h"))
+    grid = F.array(*[F.struct(F.lit(t).alias("conf"), F.lit(s).alias("imgsz"), F.lit(i).alias("at")) for i, t in enumerate(sorted(thresholds), 1) for s in sizes])
+    counted = truth.select("image", "actual").join(per_image, "image", "left").select("image", "actual", "_h", F.explode(grid).alias("c"))
+    predicted = F.aggregate(F.filter("_h", lambda x: x["passed"] >= F.col("c.at")), F.lit(0).cast("bigint"), lambda s, x: s + x["n"])
+    rows = counted.select("image", "actual", "c.conf", "c.imgsz", F.coalesce(predicted, F.lit(0).cast("bigint")).alias("predicted"))
+    rows = count_metrics(rows.select("image", "conf", "imgsz", "predicted"), truth)
     return rows.groupBy("conf", "imgsz").agg(
         F.count(F.lit(1)).alias("images"), F.avg("abs_error").alias("mae"), F.sqrt(F.avg(F.col("error") * F.col("error"))).alias("rmse"),
         F.avg(F.when(F.col("abs_error") == 0, 100.0).otherwise(0.0)).alias("exact_rate"), F.avg("accuracy").alias("mean_accuracy"),

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from transitloom import constants as C
 from transitloom.functions.draws import poisson_cdf
 from transitloom.operators import demand, network, routes, scenario, timetable
-from transitloom.session import STEPS
+from transitloom.session import STEPS, input_state
 from transitloom.sources.bindings import Tables, oracle
 
 RUN_ID = "run-1"
@@ -45,7 +45,11 @@ class Context:
         self.t = Tables(spark, folder)
 
     def step(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-        return STEPS.get(self.spark, self.folder, name, build)
+        return STEPS.get(self.spark, (self.folder, self.state), name, build)
+
+    @cached_property
+    def state(self) -> int:
+        return input_state(self.spark, self.folder)
 
     @cached_property
     def frequencies(self) -> DataFrame:
@@ -94,7 +98,7 @@ class Context:
 
     @cached_property
     def segment_loads(self) -> DataFrame:
-        return demand.segment_loads(self.hops, self.loads, RUN_ID)
+        return demand.segment_loads(self.hops, self.loads, RUN_ID, self.matched)
 
     @cached_property
     def all_segments(self) -> DataFrame:
@@ -150,6 +154,12 @@ def hash_sql(*parts: str) -> str:
     return f"CAST('0x' || substr(sha256({text}), 1, 13) AS BIGINT)"
 
 
+def pick_sql(n: str, *parts: str) -> str:
+    """The 64-bit hash modulo n, from its two halves."""
+    text = "concat_ws('|', " + ", ".join(f"coalesce(CAST({p} AS VARCHAR), 'None')" for p in parts) + ")"
+    return f"CAST(CAST('0x' || substr(sha256({text}), 1, 16) AS UBIGINT) % ({n}) AS BIGINT)"
+
+
 def uniform_sql(*parts: str) -> str:
     return f"(({hash_sql(*parts)} + 0.5::DOUBLE) / 4503599627370496::DOUBLE)"
 
@@ -281,6 +291,11 @@ STEPS_SQL: dict[str, str] = {
                  lead(arr) OVER w AS next_arr, count(*) OVER (PARTITION BY instance_id) - 1 AS pairs
           FROM {o_visits} WINDOW w AS (PARTITION BY instance_id ORDER BY pos)) h
         LEFT JOIN {o_matched} m ON m.trip_id = h.trip_id AND m.pos = h.pos WHERE h.to_stop IS NOT NULL""",
+    "o_ridden": """
+        SELECT instance_id, corridor_id, pos, segment_id, dep, next_arr FROM {o_ihops} WHERE segment_id IS NOT NULL
+        UNION ALL
+        SELECT i.instance_id, i.corridor_id, NULL, g.segment_id, NULL, NULL
+        FROM {o_instances} i JOIN {o_summary} m ON m.trip_id = i.trip_id AND m.matched = 0 JOIN {segments} g ON g.corridor_id = i.corridor_id""",
     "o_used": f"""
         SELECT r.corridor_id, r.date AS used_date, r.riders FROM {{riders}} r
         JOIN (SELECT corridor_id, coalesce(max(CASE WHEN date = DATE '{SERVICE_DATE}' THEN date END), max(date)) AS pick FROM {{riders}} GROUP BY corridor_id) p
@@ -298,7 +313,7 @@ STEPS_SQL: dict[str, str] = {
     "o_segraw": f"""
         SELECT h.instance_id, h.corridor_id, h.pos, h.segment_id, h.dep, h.next_arr, l.load,
                l.load * {normal_sql(0.10, 0.8, 1.2, 'l.used_date', 'h.corridor_id', 'h.instance_id', 'h.segment_id', f"'{RUN_ID}'")} AS raw
-        FROM {{o_ihops}} h JOIN {{o_loads}} l ON h.instance_id = l.instance_id WHERE h.segment_id IS NOT NULL""",
+        FROM {{o_ridden}} h JOIN {{o_loads}} l ON h.instance_id = l.instance_id""",
     "o_segloads": """
         SELECT *, CASE WHEN avg_raw > 0 THEN raw * (load / avg_raw) ELSE raw END AS segment_load
         FROM (SELECT *, avg(raw) OVER (PARTITION BY instance_id) AS avg_raw FROM {o_segraw}) s""",

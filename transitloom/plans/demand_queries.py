@@ -8,7 +8,7 @@ from transitloom import constants as C
 from transitloom.functions.scalar import band_name, band_weight, density_class, density_label, density_rank, clamp_load
 from transitloom.operators import audit, demand, lookup
 from transitloom.plans.base import (
-    RUN_ID, SERVICE_DATE, TIMES_SQL, band_sql, bearing_sql, clamp_sql, hash_sql, r, register,
+    RUN_ID, SERVICE_DATE, TIMES_SQL, band_sql, bearing_sql, clamp_sql, pick_sql, r, register,
 )
 
 CLASS_SQL = "CASE WHEN {0} < 0.5::DOUBLE THEN 'sepi' WHEN {0} < 0.8::DOUBLE THEN 'sedang' WHEN {0} < 1.0::DOUBLE THEN 'padat' ELSE 'sangat_padat' END"
@@ -52,7 +52,7 @@ def ridership_rows(c):
     n AS (SELECT corridor_id, count(*) AS n, max(date) AS latest FROM kept GROUP BY corridor_id)
     SELECT k.corridor_id, CAST(n.n AS BIGINT) AS recent, strftime(n.latest, '%Y-%m-%d') AS latest, strftime(k.date, '%Y-%m-%d') AS sampled,
            strftime(u.used_date, '%Y-%m-%d') AS used_for_date
-    FROM kept k JOIN n ON k.corridor_id = n.corridor_id AND k.rn - 1 = {hash_sql("'ridership_sample_30'", f"'{RUN_ID}'", 'k.corridor_id')} % n.n
+    FROM kept k JOIN n ON k.corridor_id = n.corridor_id AND k.rn - 1 = {pick_sql('n.n', "'ridership_sample_30'", f"'{RUN_ID}'", 'k.corridor_id')}
     JOIN {{o_used}} u ON u.corridor_id = k.corridor_id""",
 )
 def recent_dates(c):
@@ -162,7 +162,7 @@ def corridor_min(c):
                   FROM {{o_loads}} WHERE band = 'morning_peak'),
     v AS (SELECT DISTINCT bus_id, CAST(1 + event_id % 15 AS VARCHAR) AS corridor_id FROM {{readings}})
     SELECT v.bus_id, v.corridor_id, p.instance_id, round({clamp_sql('p.load')}, 6) AS density
-    FROM v JOIN pool p ON v.corridor_id = p.corridor_id AND p.slot = {hash_sql('v.bus_id', 'v.corridor_id', "'morning_peak'")} % p.n""",
+    FROM v JOIN pool p ON v.corridor_id = p.corridor_id AND p.slot = {pick_sql('p.n', 'v.bus_id', 'v.corridor_id', "'morning_peak'")}""",
 )
 def borrow_load(c):
     vehicles = c.t.readings.select("bus_id", (1 + F.col("event_id") % 15).cast("string").alias("corridor_id"))
@@ -224,20 +224,29 @@ POSITIONS_SQL = f"""
     "positions",
     f"""
     SELECT time, instance_id, corridor_id, direction_id, round(lat, 7) AS lat, round(lng, 7) AS lng, round(bearing, 4) AS bearing, next_stop, eta_min, round(load, 3) AS load,
-           {CLASS_SQL.format('load')} AS class FROM (
-      SELECT *, row_number() OVER (PARTITION BY time, corridor_id, direction_id ORDER BY eta_min, instance_id) AS rn FROM ({POSITIONS_SQL}) p) q WHERE rn <= 3""",
+           {CLASS_SQL.format('load')} AS class FROM ({POSITIONS_SQL}) p""",
 )
 def positions(c):
-    return lookup.positions(c.hops, C.SAMPLE_TIMES, c.loads, visible=3).select(
+    return lookup.positions(c.hops, C.SAMPLE_TIMES, c.loads).select(
         "time", "instance_id", "corridor_id", "direction_id", r("lat", 7).alias("lat"), r("lng", 7).alias("lng"), r("bearing", 4).alias("bearing"),
         "next_stop", "eta_min", r("load", 3).alias("load"), density_class(F.col("load")).alias("class"),
     )
 
 
+@register(
+    "positions_visible",
+    f"""
+    SELECT time, instance_id, corridor_id, direction_id, next_stop, eta_min FROM (
+      SELECT *, row_number() OVER (PARTITION BY time, corridor_id, direction_id ORDER BY eta_min, instance_id) AS rn FROM ({POSITIONS_SQL}) p) q WHERE rn <= 3""",
+)
+def positions_visible(c):
+    return lookup.positions(c.hops, C.SAMPLE_TIMES, c.loads, visible=3).select("time", "instance_id", "corridor_id", "direction_id", "next_stop", "eta_min")
+
+
 @register(
     "positions_geojson",
     f"""
-    SELECT time, instance_id, concat('{{{{"type":"Feature","geometry":{{{{"type":"Point","coordinates":[', CAST(CAST(round(lng * 10000) AS BIGINT) AS VARCHAR), ',', CAST(CAST(round(lat * 10000) AS BIGINT) AS VARCHAR),
+    SELECT time, instance_id, concat('{{{{"type":"Feature","geometry":{{{{"type":"Point","coordinates":[', CAST(CAST(round(lng, 6) AS DECIMAL(10, 6)) AS VARCHAR), ',', CAST(CAST(round(lat, 6) AS DECIMAL(10, 6)) AS VARCHAR),
            ']}}}},"properties":{{{{"bus_id":"', instance_id, '","koridor_id":"', corridor_id, '","next_stop":"', next_stop, '","eta_minutes":', CAST(eta_min AS VARCHAR), '}}}}}}}}') AS feature
     FROM ({POSITIONS_SQL}) p""",
 )
@@ -245,10 +254,10 @@ def positions_geojson(c):
     from transitloom.sources.sinks import point_feature
 
     rows = lookup.positions(c.hops, C.SAMPLE_TIMES, c.loads)
-    # Coordinates are scaled to whole ten-thousandths so that both engines print the same digits.
-    scaled = lambda name: F.round(F.col(name) * 10000).cast("bigint")
+    # Degrees with six places (about 0.1 m), as decimals, so that both engines print the same digits.
+    degrees = lambda name: F.round(F.col(name), 6).cast("decimal(10, 6)")
     properties = {"bus_id": F.col("instance_id"), "koridor_id": F.col("corridor_id"), "next_stop": F.col("next_stop"), "eta_minutes": F.col("eta_min")}
-    return rows.select("time", "instance_id", point_feature(scaled("lng"), scaled("lat"), properties).alias("feature"))
+    return rows.select("time", "instance_id", point_feature(degrees("lng"), degrees("lat"), properties).alias("feature"))
 
 
 @register(
@@ -311,8 +320,21 @@ def next_trip_tiered(c):
     FROM {{o_loads}} l LEFT JOIN pick p ON p.instance_id = l.instance_id LEFT JOIN newest n ON p.instance_id IS NOT NULL""",
 )
 def live_overlay(c):
-    newest = c.t.readings.agg(F.max(F.struct("ms", "event_id", "passengers")).alias("n")).select("n.passengers")
+    return _overlay(c, 60_000)
+
+
+def _overlay(c, after_ms: int):
+    """The clock stands ``after_ms`` past the newest reading."""
+    newest = lookup.fresh_reading(c.t.readings, F.max("ms") + after_ms)
     picked = lookup.live_pick(c.instances, "1", "0", 28800)
     return lookup.overlay_live(c.loads, picked, newest).select(
         "instance_id", r(clamp_load(F.col("load"))).alias("load"), r("passengers", 4).alias("passengers"), "data_source"
     )
+
+
+@register(
+    "live_overlay_stale",
+    f"SELECT instance_id, round({clamp_sql('load')}, 6) AS load, round(passengers, 4) AS passengers, 'generated' AS data_source FROM {{o_loads}}",
+)
+def live_overlay_stale(c):
+    return _overlay(c, C.LIVE_TTL_SECS * 1000 + 1)

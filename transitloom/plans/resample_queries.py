@@ -29,7 +29,7 @@ STEPS_SQL["o_mcseg"] = f"""
       SELECT *, avg(draw) OVER (PARTITION BY replication, instance_id) AS m FROM (
         SELECT t.replication, t.seed, h.instance_id, h.corridor_id, h.pos, h.segment_id, h.dep, h.next_arr, t.load AS base,
                {poisson_sql(25.0, 't.seed', 'h.corridor_id', 'h.instance_id', 'h.segment_id', "'segment'")} AS draw
-        FROM {{o_ihops}} h JOIN {{o_mctrips}} t ON t.instance_id = h.instance_id WHERE h.segment_id IS NOT NULL) a) b"""
+        FROM {{o_ridden}} h JOIN {{o_mctrips}} t ON t.instance_id = h.instance_id) a) b"""
 
 
 def mc_trips(c):
@@ -41,7 +41,7 @@ def mc_trips(c):
 
 
 def mc_segments(c):
-    return resample.replicated_segment_loads(c.hops, mc_trips(c))
+    return resample.replicated_segment_loads(c.hops, mc_trips(c), c.instances, c.matched)
 
 
 @register(

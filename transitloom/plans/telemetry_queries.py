@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from transitloom import constants as C
 from transitloom.operators import demand, live, quality, telemetry
-from transitloom.plans.base import STEPS_SQL, band_sql, clamp_sql, dist_sql, hash_sql, r, register
+from transitloom.plans.base import STEPS_SQL, band_sql, clamp_sql, dist_sql, pick_sql, r, register
 from transitloom.session import step_folder
 from transitloom.sources import readers, sinks
 
@@ -112,7 +112,7 @@ def live_validate(c):
     m AS (SELECT s.*, coalesce(a.stop_id, b.stop_id) AS stop_id FROM s LEFT JOIN {{stops}} a ON a.stop_id = s.sid LEFT JOIN {{stops}} b ON b.stop_id = s.pid WHERE eta IS NOT NULL),
     pool AS (SELECT corridor_id, load, row_number() OVER (PARTITION BY corridor_id ORDER BY instance_id) - 1 AS slot, count(*) OVER (PARTITION BY corridor_id) AS cnt FROM {{o_loads}} WHERE band = 'morning_peak')
     SELECT m.bus_id, m.corridor_id, CAST(m.pos AS INT) AS pos, m.stop_id, 28800 + m.eta * 60 AS arr, round({clamp_sql('p.load')}, 6) AS density
-    FROM m JOIN pool p ON p.corridor_id = m.corridor_id AND p.slot = {hash_sql('m.bus_id', 'm.corridor_id', "'morning_peak'")} % p.cnt WHERE m.stop_id IS NOT NULL""",
+    FROM m JOIN pool p ON p.corridor_id = m.corridor_id AND p.slot = {pick_sql('p.cnt', 'm.bus_id', 'm.corridor_id', "'morning_peak'")} WHERE m.stop_id IS NOT NULL""",
 )
 def live_schedule(c):
     parsed = live.parse_messages(c.t.vehicle_messages, F.col("m.route_code").isin(C.DEFAULT_SCOPE))
@@ -326,31 +326,32 @@ def box_filter(c):
     "count_metrics",
     f"""
     WITH p AS (SELECT image, count(CASE WHEN {BOX_SQL.format(C.BOX_MIN_AREA)} = 'ok' THEN 1 END) AS predicted FROM {{detections}} GROUP BY image)
-    SELECT p.image, p.predicted, t.actual, predicted - actual AS error, abs(predicted - actual) AS abs_error,
-           round(CASE WHEN actual = 0 AND predicted = 0 THEN 100 WHEN actual = 0 THEN 0 ELSE (1 - abs(predicted - actual)::DOUBLE / actual) * 100 END, 6) AS accuracy, t.actual IS NULL AS missing_truth
-    FROM p LEFT JOIN (SELECT * FROM {{truth}} WHERE boxes > 1) t ON t.image = p.image""",
+    SELECT image, predicted, actual, predicted - actual AS error, abs(predicted - actual) AS abs_error,
+           round(CASE WHEN actual = 0 AND predicted = 0 THEN 100 WHEN actual = 0 THEN 0 ELSE (1 - abs(predicted - actual)::DOUBLE / actual) * 100 END, 6) AS accuracy, actual IS NULL AS missing_truth
+    FROM (SELECT coalesce(t.image, p.image) AS image, coalesce(p.predicted, 0) AS predicted, t.actual FROM p FULL JOIN {{truth}} t ON t.image = p.image) j""",
 )
 def count_metrics(c):
     counts = telemetry.box_counts(c.t.detections, 640, 480).select("image", F.col("valid").alias("predicted"))
-    return telemetry.count_metrics(counts, c.t.truth.filter("boxes > 1").drop("boxes")).drop("accuracy_bounded").withColumn("accuracy", r("accuracy"))
+    return telemetry.count_metrics(counts, c.t.truth).drop("accuracy_bounded").withColumn("accuracy", r("accuracy"))
 
 
 CONFS, SIZES = [0.15, 0.25, 0.40], [416, 640]
-GRID_SQL = ", ".join(f"({t}::DOUBLE, {s}, {C.BOX_MIN_AREA * (640.0 / s)!r}::DOUBLE)" for t in CONFS for s in SIZES)
+GRID_SQL = ", ".join(f"({t}::DOUBLE, {s})" for t in CONFS for s in SIZES)
 
 
 @register(
     "sweep_summary",
     f"""
-    WITH n AS (SELECT g.conf, g.imgsz, d.image, count(CASE WHEN d.conf >= g.conf AND {BOX_SQL.format('g.low').replace('g.low::DOUBLE', 'g.low')} = 'ok' THEN 1 END) AS predicted FROM {{detections}} d, (VALUES {GRID_SQL}) g(conf, imgsz, low) GROUP BY ALL),
-    m AS (SELECT n.*, predicted - actual AS e, CASE WHEN actual = 0 AND predicted = 0 THEN 100 WHEN actual = 0 THEN 0 ELSE (1 - abs(predicted - actual)::DOUBLE / actual) * 100 END AS acc FROM n JOIN {{truth}} t ON t.image = n.image)
+    WITH n AS (SELECT g.conf, g.imgsz, t.image, t.actual, count(CASE WHEN d.conf >= g.conf AND {BOX_SQL.format(C.BOX_MIN_AREA)} = 'ok' THEN 1 END) AS predicted
+               FROM (SELECT * FROM {{truth}} t, (VALUES {GRID_SQL}) v(conf, imgsz)) g JOIN {{truth}} t ON t.image = g.image LEFT JOIN {{detections}} d ON d.image = g.image GROUP BY ALL),
+    m AS (SELECT n.*, predicted - actual AS e, CASE WHEN actual = 0 AND predicted = 0 THEN 100 WHEN actual = 0 THEN 0 ELSE (1 - abs(predicted - actual)::DOUBLE / actual) * 100 END AS acc FROM n)
     SELECT conf, imgsz, images, round(mae, 6) AS mae, round(rmse, 6) AS rmse, round(ex, 6) AS exact_rate, round(acc, 6) AS mean_accuracy, round(accb, 6) AS mean_accuracy_bounded, row_number() OVER (ORDER BY round(mae, 9), round(ex, 9) DESC, conf, imgsz) AS place
     FROM (SELECT conf, imgsz, count(*) AS images, avg(abs(e)) AS mae, sqrt(avg(e * e)) AS rmse, avg(CASE WHEN e = 0 THEN 100 ELSE 0 END) AS ex, avg(acc) AS acc, avg(greatest(0, acc)) AS accb FROM m GROUP BY conf, imgsz) z""",
 )
 def sweep_summary(c):
     from pyspark.sql import Window
 
-    out = telemetry.threshold_sweep(c.t.detections, c.t.truth.drop("boxes"), CONFS, SIZES, 640, 480)
+    out = telemetry.threshold_sweep(c.t.detections, c.t.truth, CONFS, SIZES, 640, 480)
     # One row per configuration: the ranking window holds the grid, not the images.
     place = F.row_number().over(Window.orderBy(F.round("mae", 9), F.desc(F.round("exact_rate", 9)), "conf", "imgsz")).cast("bigint")
     names = ["mae", "rmse", "exact_rate", "mean_accuracy", "mean_accuracy_bounded"]

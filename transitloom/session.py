@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -10,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions
 
 def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A session for tests and the benchmark; a cluster brings its own session and settings."""
+    shared = tempfile.mkdtemp(prefix="spark-steps-", dir="/tmp")
+    atexit.register(shutil.rmtree, shared, ignore_errors=True)
     return (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("transitloom")
@@ -19,15 +23,23 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.checkpoint.dir", shared)
         .getOrCreate()
     )
 
 
 def step_folder(spark: SparkSession) -> str:
-    """Folder for written steps: the shared one the cluster names, a temporary one only when none is set."""
+    """Folder for written steps: the one that ``spark.checkpoint.dir`` names.
+
+    Only a local session, where driver and executors are one process, may do without: it gets a folder of its own, removed at
+    the end. A cluster without the setting is refused, as executors would not see each other's files.
+    """
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not shared:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         shared = tempfile.mkdtemp(prefix="spark-steps-", dir="/tmp")
+        atexit.register(shutil.rmtree, shared, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", shared)
     return f"{shared.rstrip('/')}/{spark.sparkContext.applicationId}"
 
@@ -59,17 +71,26 @@ def cut(df: DataFrame) -> DataFrame:
     return load(df.sparkSession, df.schema, store(df))
 
 
+def input_state(spark: SparkSession, folder: str) -> int:
+    """A number that changes when a file below ``folder`` comes, goes, or changes in size or time."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    row = files.agg(F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)")).alias("h")).first()
+    return int(row["h"] or 0)
+
+
 class StepStore:
-    """Remembers written steps per (application, input folder, step) for reuse between queries."""
+    """Remembers written steps per (application, input folder and its state, step) for reuse between queries."""
 
     def __init__(self) -> None:
-        self._steps: dict[tuple, DataFrame] = {}
+        self._steps: dict[tuple, tuple] = {}
 
-    def get(self, spark: SparkSession, scope: str, step: str, build) -> DataFrame:
-        key = (spark.sparkContext.applicationId, id(spark._jsparkSession), scope, step)
+    def get(self, spark: SparkSession, scope: tuple, step: str, build) -> DataFrame:
+        key = (spark.sparkContext.applicationId, scope, step)
         if key not in self._steps:
-            self._steps[key] = cut(build())
-        return self._steps[key]
+            df = build()
+            self._steps[key] = (df.schema, store(df))
+        schema, path = self._steps[key]
+        return load(spark, schema, path)
 
 
 STEPS = StepStore()
