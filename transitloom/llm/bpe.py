@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, functions as F
 
-from transitloom.llm.text import raw_texts, span_hashes
+from transitloom.llm.text import groups, raw_texts, span_hashes
 
 BLOCK = 1 << 21
 LEXICON_WORDS = 1 << 16
@@ -388,14 +388,8 @@ class Encoder:
 
 
 def text_blocks(column: pa.Array) -> Iterator[list[bytes]]:
-    texts, first, held = raw_texts(column), 0, 0
-    for i, t in enumerate(texts):
-        if held and held + len(t) > BLOCK:
-            yield texts[first:i]
-            first, held = i, 0
-        held += len(t)
-    if first < len(texts):
-        yield texts[first:]
+    for _, texts in groups(column, BLOCK, 1024):
+        yield texts
 
 
 def load_source(df: DataFrame, tokenizer: str):

@@ -15,14 +15,13 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import StructType
 
-from transitloom.llm.bloom import MAX_CELLS, Bloom
+from transitloom.llm.bloom import MAX_CELLS, Bloom, hit
 from transitloom.llm.groups import with_totals
-from transitloom.llm.text import raw_texts
+from transitloom.llm.text import BLOCK, groups
 from transitloom.session import load, store_counted
 
 
@@ -30,17 +29,27 @@ def _digest(text: bytes) -> bytes:
     return hashlib.sha256(text.lower()).digest()  # bytes.lower() changes A-Z only
 
 
+def _hash(digest: bytes) -> int:
+    return int.from_bytes(digest[:8], "big", signed=True)
+
+
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [_digest(t) for t in raw_texts(batch.column(1))]
+        found = [_digest(t) for _, texts in groups(batch.column(1), BLOCK, 256) for t in texts]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(found, pa.binary()), pa.array([int.from_bytes(d[:8], "big", signed=True) for d in found], pa.int64())], names=["id", "digest", "hash"]
+            [batch.column(0), pa.array(found, pa.binary()), pa.array([_hash(d) for d in found], pa.int64())], names=["id", "digest", "hash"]
         )
 
 
-@F.pandas_udf(LongType())
-def _text_hash(texts: pd.Series) -> pd.Series:
-    return pd.Series([int.from_bytes(_digest((t or "").encode())[:8], "big", signed=True) for t in texts], dtype=np.int64)
+def _marked(bits, cells: int, at: int, names: list[str]):
+    """Rows as they are, with the hash of their text and whether it may stand twice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = np.fromiter((_hash(_digest(t)) for _, texts in groups(batch.column(at), BLOCK, 256) for t in texts), np.int64, count=batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hashes), pa.array(hit(bits.value, hashes, cells))], names=names)
+
+    return run
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_cells: int = MAX_CELLS) -> tuple[DataFrame, Bloom]:
@@ -66,8 +75,11 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the dropped copies, all columns kept. Texts that cannot repeat are not shuffled."""
     decisions, repeats = exact_duplicates(docs, id_col, text_col)
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("_id"), _text_hash(F.col(text_col)).alias("_hash"))
-    rows = rows.withColumn("_maybe", repeats.test(F.col("_hash")))
+    names = [f"c{i}" for i in range(len(docs.columns))]  # whatever the columns are called
+    flat = docs.toDF(*names)
+    marked = flat.mapInArrow(_marked(repeats.bits, repeats.cells, docs.columns.index(text_col), [*names, "_hash", "_maybe"]), StructType([*flat.schema.fields]).add("_hash", "long").add("_maybe", "boolean"))
+    back = F.struct(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
+    rows = marked.select(back.alias("row"), F.col(names[docs.columns.index(id_col)]).alias("_id"), "_hash", "_maybe")
     winners = decisions.where("kept AND group_size > 1").select(F.col("id").alias("_k"))
     groups = decisions.where("group_size > 1").select(F.col("id").alias("_k")).distinct()
     maybe = rows.where("_maybe")

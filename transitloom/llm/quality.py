@@ -15,9 +15,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, functions as F
 
 from transitloom.llm.text import Block, blocks, mix
 from transitloom.session import cut
@@ -164,6 +164,17 @@ def _score(weights):
     return run
 
 
+def _filter(weights, at: int, least: float):
+    score = _score(weights)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column(at)], names=["id", "text"])
+            yield batch.filter(pc.greater_equal(next(score(iter([text]))).column(1), least))
+
+    return run
+
+
 class Quality:
     """``votes``: id, pattern, posterior of every row. ``accuracy``: labeller to its estimated accuracy."""
 
@@ -186,16 +197,9 @@ class Quality:
     def scores(self) -> DataFrame:
         return self.docs.mapInArrow(_score(self._weights), f"id {self.kind}, score double")
 
-    def condition(self, text: Column) -> Column:
-        """The score as a column of a text column, for filters that keep whole rows where they are."""
-        weights = self._weights
-
-        @F.pandas_udf("double")
-        def scored(texts: pd.Series) -> pd.Series:
-            batch = pa.RecordBatch.from_arrays([pa.nulls(len(texts), pa.int64()), pa.array(texts, pa.string())], names=["id", "text"])
-            return next(_score(weights)(iter([batch]))).column(1).to_pandas()
-
-        return scored(text)
+    def kept(self, rows: DataFrame, text_col: str, at_least: float = KEEP) -> DataFrame:
+        """Whole rows whose text scores ``at_least``; rows go through the task as they are."""
+        return rows.mapInArrow(_filter(self._weights, rows.columns.index(text_col), at_least), rows.schema)
 
 
 def quality_report(docs: DataFrame) -> DataFrame:
@@ -205,6 +209,4 @@ def quality_report(docs: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that the scorer rejects."""
-    found = Quality(docs, id_col, text_col)
-    rows = docs.select(F.struct("*").alias("row"), found.condition(F.col(text_col)).alias("_score"))
-    return rows.where(F.col("_score") >= KEEP).select("row.*")
+    return Quality(docs, id_col, text_col).kept(docs, text_col)

@@ -83,15 +83,21 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix((sums[ends] - sums[starts]) * back[starts])
 
 
+def groups(column: pa.Array, size: int, rows: int) -> Iterator[tuple[int, list[bytes]]]:
+    """(first row, texts) of consecutive texts that fit ``size`` bytes (or one longer text), at most ``rows`` at a time."""
+    for begin in range(0, len(column), rows):
+        texts, first, held = raw_texts(column.slice(begin, rows)), 0, 0
+        for i, t in enumerate(texts):
+            if held and held + len(t) > size:
+                yield begin + first, texts[first:i]
+                first, held = i, 0
+            held += len(t) + 1
+        yield begin + first, texts[first:]
+
+
 def blocks(column: pa.Array, lower: bool = False, size: int = BLOCK) -> Iterator[Block]:
-    texts, first, held = raw_texts(column), 0, 0
-    for i, t in enumerate(texts):
-        if held and held + len(t) > size:
-            yield Block(first, texts[first:i], lower)
-            first, held = i, 0
-        held += len(t) + 1
-    if first < len(texts):
-        yield Block(first, texts[first:], lower)
+    for first, texts in groups(column, size, 256):
+        yield Block(first, texts, lower)
 
 
 def sequence_hashes(words: np.ndarray, width: int) -> np.ndarray:
