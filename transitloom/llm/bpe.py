@@ -23,12 +23,12 @@ import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, functions as F
 
-from transitloom.llm.text import groups, raw_texts, span_hashes
+from transitloom.llm.text import groups, raw_texts, span_hashes, whole_texts
 
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 LEXICON_WORDS = 1 << 16
 LEXICON_BYTES = 48
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 LETTER, NUMBER, OTHER, BLANK, UNKNOWN = 0, 1, 2, 3, 255
 
 
@@ -394,6 +394,7 @@ def text_blocks(column: pa.Array) -> Iterator[list[bytes]]:
 
 def load_source(df: DataFrame, tokenizer: str):
     """The tokenizer file (``tokenizer`` is its path on the driver) as a broadcast text; about 1.5 MB."""
+    whole_texts(df)
     with open(tokenizer, encoding="utf-8") as f:
         return df.sparkSession.sparkContext.broadcast(f.read())
 

@@ -21,7 +21,7 @@ from pyspark.sql.types import StructType
 
 from transitloom.llm.bloom import MAX_CELLS, Bloom, hit
 from transitloom.llm.groups import with_totals
-from transitloom.llm.text import BLOCK, groups
+from transitloom.llm.text import BLOCK, groups, whole_texts
 from transitloom.session import load, store_counted
 
 
@@ -54,7 +54,7 @@ def _marked(bits, cells: int, at: int, names: list[str]):
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_cells: int = MAX_CELLS) -> tuple[DataFrame, Bloom]:
     """One row per row of ``docs`` (id, digest, keep_id, group_size, kept), and the filter that knows which hashes may repeat."""
-    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    narrow = whole_texts(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = narrow.schema["id"].dataType.simpleString()
     found = narrow.mapInArrow(_digests, f"id {kind}, digest binary, hash long")
     path, rows = store_counted(found)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from transitloom.llm.bloom import Bloom
 from transitloom.llm.groups import components, with_totals
-from transitloom.llm.text import as_long, blocks, mix, shingle_sets
+from transitloom.llm.text import as_long, blocks, mix, shingle_sets, whole_texts
 from transitloom.session import cut, load, store_counted
 
 BUCKETS = 1 << 20
@@ -169,7 +169,7 @@ def verify(pairs: DataFrame, count: int, docs: DataFrame, width: int, num: int,
 def jaccard_classes(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, class_id (smallest id with the same set), component_id."""
     spark = docs.sparkSession
-    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    narrow = whole_texts(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     levels = shingle_levels(narrow, "text", width)
     kind = narrow.schema["id"].dataType.simpleString()
     sets = cut(narrow.mapInArrow(_prefixes(width, num, den, levels), f"id {kind}, n long, d1 long, d2 long, head long, prefix array<long>, spread binary"))

@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from transitloom.llm.text import Block, blocks, mix
+from transitloom.llm.text import Block, blocks, mix, whole_texts
 from transitloom.session import cut
 
 LABELLERS = ("upper case", "marks in words", "bare marks", "same word again", "few different words", "word length", "empty", "marks among letters", "marks at word ends", "upper case among letters")
@@ -180,7 +180,7 @@ class Quality:
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
         spark = docs.sparkSession
-        self.docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+        self.docs = whole_texts(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
         self.kind = self.docs.schema["id"].dataType.simpleString()
         voted = cut(self.docs.mapInArrow(patterns, f"id {self.kind}, pattern long"))
         counted = voted.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).orderBy("pattern").collect()  # at most 3 ** labellers rows

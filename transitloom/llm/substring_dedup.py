@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from transitloom.llm.bloom import Bloom, hit
 from transitloom.llm.groups import with_totals
-from transitloom.llm.text import as_long, blocks, raw_texts, sequence_hashes
+from transitloom.llm.text import as_long, blocks, raw_texts, sequence_hashes, whole_texts
 from transitloom.session import cut, load, store_counted
 
 WINDOW = 50
@@ -200,7 +200,7 @@ class Repeats:
 
         spark, kind = docs.sparkSession, docs.schema["id"].dataType
         name = kind.simpleString()
-        self.docs = docs
+        self.docs = whole_texts(docs)
         seen = docs.where("id IS NOT NULL").mapInArrow(_minimisers(window, mer), f"id {name}, hash long, windows long")
         counted = seen.groupBy("hash").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.sum("windows").alias("windows"))
         shared = counted.where("low < high").select("hash", "windows")

@@ -10,8 +10,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
-BLOCK = 1 << 20
+BLOCK = 1 << 18
+BATCH_ROWS = 1000
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -20,6 +22,14 @@ _FACTOR = 0x9E3779B97F4A7C15
 _BACK = pow(_FACTOR, -1, 1 << 64)
 
 
+def whole_texts(df: DataFrame) -> DataFrame:
+    """Sets smaller Arrow batches where the session has the default of 10,000 rows, as rows hold whole texts."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == 10_000:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every input bit."""
     x = x ^ (x >> np.uint64(30))

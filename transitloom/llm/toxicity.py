@@ -22,7 +22,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
-from transitloom.llm.text import raw_texts
+from transitloom.llm.text import raw_texts, whole_texts
 from transitloom.session import cut
 
 TOXIC_ROWS, ORDINARY_ROWS, CALIBRATION_ROWS = 1500, 3000, 4000
@@ -142,7 +142,7 @@ def fit(docs: DataFrame, labels: DataFrame):
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, score (0 to 1) of every row."""
-    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    narrow = whole_texts(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     model, curve = fit(narrow, labels)
     if model is None:
         return narrow.select(F.col("doc_id").alias("id"), F.lit(float(curve)).alias("score"))
