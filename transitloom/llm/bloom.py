@@ -15,7 +15,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from transitloom.llm.text import mix, seeds
+from transitloom.llm.text import mix, seeds, tidy
 
 PROBES = 4
 CELLS_PER_ROW = 16
@@ -49,9 +49,10 @@ def _fill(cells: int):
                     names=["slice", "seen", "again"],
                 )
 
-    return run
+    return tidy(run)
 
 
+@tidy
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by slice; only one slice is held."""
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, functions as F
 
-from transitloom.llm.text import groups, raw_texts, span_hashes, whole_texts
+from transitloom.llm.text import groups, raw_texts, span_hashes, tidy, whole_texts
 
 BLOCK = 1 << 20
 LEXICON_WORDS = 1 << 16
@@ -413,7 +413,7 @@ def _count_words(source):
                     words = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
                     yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(n, pa.int64())], names=["word", "n"])
 
-    return run
+    return tidy(run)
 
 
 def frequent_words(docs: DataFrame, source, size: int = LEXICON_WORDS) -> list[bytes]:
@@ -443,7 +443,7 @@ def _encode(source, lexicon):
             ids = pa.array([x.astype(np.int32) for x in tool.column(batch.column(1))], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["id", "ids"])
 
-    return run
+    return tidy(run)
 
 
 def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", size: int = LEXICON_WORDS) -> DataFrame:
@@ -465,7 +465,7 @@ def _decode(source):
                 texts.append(bpe.decode(flat[offsets[at] : offsets[at + 1]].astype(np.int64)) if column[at].is_valid else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["id", "text"])
 
-    return run
+    return tidy(run)
 
 
 def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
@@ -474,6 +474,7 @@ def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
     return encoded.select("id", "ids").mapInArrow(_decode(load_source(encoded, tokenizer)), f"id {kind}, text string")
 
 
+@tidy
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         column = batch.column(1)
@@ -492,7 +493,7 @@ def _chain(*steps):
             batches = step(batches)
         return batches
 
-    return run
+    return tidy(run)
 
 
 def _both(source):
@@ -506,7 +507,7 @@ def _both(source):
                 for text in step(iter([part])):
                     yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), text.column(1)], names=["id", "ids", "text"])
 
-    return run
+    return tidy(run)
 
 
 def roundtrip_report(docs: DataFrame, tokenizer: str) -> DataFrame:

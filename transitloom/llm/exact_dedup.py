@@ -21,7 +21,7 @@ from pyspark.sql.types import StructType
 
 from transitloom.llm.bloom import MAX_CELLS, Bloom, hit
 from transitloom.llm.groups import with_totals
-from transitloom.llm.text import BLOCK, groups, whole_texts
+from transitloom.llm.text import BLOCK, groups, tidy, whole_texts
 from transitloom.session import load, store_counted
 
 
@@ -33,6 +33,7 @@ def _hash(digest: bytes) -> int:
     return int.from_bytes(digest[:8], "big", signed=True)
 
 
+@tidy
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [_digest(t) for _, texts in groups(batch.column(1), BLOCK, 256) for t in texts]
@@ -49,7 +50,7 @@ def _marked(bits, cells: int, at: int, names: list[str]):
             hashes = np.fromiter((_hash(_digest(t)) for _, texts in groups(batch.column(at), BLOCK, 256) for t in texts), np.int64, count=batch.num_rows)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hashes), pa.array(hit(bits.value, hashes, cells))], names=names)
 
-    return run
+    return tidy(run)
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_cells: int = MAX_CELLS) -> tuple[DataFrame, Bloom]:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from transitloom.llm.bloom import Bloom
 from transitloom.llm.groups import components, with_totals
-from transitloom.llm.text import as_long, blocks, mix, shingle_sets, whole_texts
+from transitloom.llm.text import as_long, blocks, mix, shingle_sets, tidy, whole_texts
 from transitloom.session import cut, load, store_counted
 
 BUCKETS = 1 << 20
@@ -49,7 +49,7 @@ def _sketch(width: int):
             if own.any():
                 yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([zlib.compress(own.tobytes(), 1)], pa.binary())], names=["chunk", "counts"])
 
-    return run
+    return tidy(run)
 
 
 def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,7 +96,7 @@ def _possible(num: int, den: int):
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
-    return run
+    return tidy(run)
 
 
 def _likely(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
@@ -132,7 +132,7 @@ def _prefixes(width: int, num: int, den: int, levels):
                 names=["id", "n", "d1", "d2", "head", "prefix", "spread"],
             )
 
-    return run
+    return tidy(run)
 
 
 def _overlaps(width: int, num: int, den: int):
@@ -152,7 +152,7 @@ def _overlaps(width: int, num: int, den: int):
                 mask = pa.array(keep, pa.bool_())
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(mask), part.column(1).filter(mask)], names=["a", "b"])
 
-    return run
+    return tidy(run)
 
 
 def verify(pairs: DataFrame, count: int, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from transitloom.llm import bpe
+from transitloom.llm.text import tidy
 from transitloom.session import load, step_folder
 
 CAPACITY = 1024
@@ -53,7 +54,7 @@ def _pieces(source, capacity: int, end: int):
         numbers = [pa.array(c, pa.int64()) for c in (start, length, crc, tokens)]
         return pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *numbers, pa.array(ids, pa.binary())], names=["id", "row", "start", "length", "crc", "tokens", "ids"])
 
-    return run
+    return tidy(run)
 
 
 def best_fill(counts: dict[int, int], capacity: int) -> tuple[int, dict[int, int]]:
@@ -144,7 +145,7 @@ def _cut_at(total: int, capacity: int, first: int):
                     names=["id", "row", "start", "length", "crc", "tokens", "ids", "sequence_id", "offset"],
                 )
 
-    return run
+    return tidy(run)
 
 
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end: int = END_ID) -> DataFrame:

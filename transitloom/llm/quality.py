@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from transitloom.llm.text import Block, blocks, mix, whole_texts
+from transitloom.llm.text import Block, blocks, mix, tidy, whole_texts
 from transitloom.session import cut
 
 LABELLERS = ("upper case", "marks in words", "bare marks", "same word again", "few different words", "word length", "empty", "marks among letters", "marks at word ends", "upper case among letters")
@@ -92,6 +92,7 @@ def buckets(block: Block) -> np.ndarray:
     return np.stack([spread(hashes, 1), spread(shape, 1 << 40), spread(back, 1 << 41)])
 
 
+@tidy
 def patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         codes = [((votes(b) + 1) * 3 ** np.arange(len(LABELLERS))).sum(axis=1) for b in blocks(batch.column(1))]
@@ -122,6 +123,7 @@ def expectation_maximisation(codes: np.ndarray, counts: np.ndarray, rounds: int
     return post, right / np.maximum(cast_at_all, 1e-12)
 
 
+@tidy
 def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """At most SAMPLE rows (text, posterior) come to this task; it returns the weights."""
     rows, places, values, labels = [], [], [], []
@@ -161,7 +163,7 @@ def _score(weights):
             flat = np.concatenate(scores) if scores else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(flat, pa.float64())], names=["id", "score"])
 
-    return run
+    return tidy(run)
 
 
 def _filter(weights, at: int, least: float):
@@ -172,7 +174,7 @@ def _filter(weights, at: int, least: float):
             text = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column(at)], names=["id", "text"])
             yield batch.filter(pc.greater_equal(next(score(iter([text]))).column(1), least))
 
-    return run
+    return tidy(run)
 
 
 class Quality:

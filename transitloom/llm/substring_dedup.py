@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from transitloom.llm.bloom import Bloom, hit
 from transitloom.llm.groups import with_totals
-from transitloom.llm.text import as_long, blocks, raw_texts, sequence_hashes, whole_texts
+from transitloom.llm.text import as_long, blocks, raw_texts, sequence_hashes, tidy, whole_texts
 from transitloom.session import cut, load, store_counted
 
 WINDOW = 50
@@ -72,7 +72,7 @@ def _minimisers(window: int, mer: int):
                     [ids.take(pa.array(np.concatenate(rows))), pa.array(as_long(np.concatenate(hashes))), pa.array(np.concatenate(counts))], names=["id", "hash", "windows"]
                 )
 
-    return run
+    return tidy(run)
 
 
 def _key(packed: bytes) -> bytes:
@@ -106,7 +106,7 @@ def _pack(window: int, mer: int, bits, cells: int, kind: pa.DataType):
                 part = list(zip(*rows[a : a + 20000]))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(part, types)], names=names)
 
-    return run
+    return tidy(run)
 
 
 def _windows(packed: bytes, window: int) -> Iterator[bytes]:
@@ -155,7 +155,7 @@ def _sorted_bucket(window: int):
         if rows:
             yield out(rows)
 
-    return run
+    return tidy(run)
 
 
 def _digests(window: int):
@@ -169,9 +169,10 @@ def _digests(window: int):
                 digest, key, at, first = zip(*rows[a : a + 50000])
                 yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array(key, pa.binary()), pa.array(at, pa.int64()), pa.array(first, pa.int64())], names=["digest", "key", "at", "first"])
 
-    return run
+    return tidy(run)
 
 
+@tidy
 def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Drops the words in the spans; a span is a first word and a number of words."""
     for batch in batches:

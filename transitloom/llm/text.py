@@ -6,6 +6,10 @@ one longer than a block makes a block of its own, and memory is a small multiple
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +26,22 @@ _FACTOR = 0x9E3779B97F4A7C15
 _BACK = pow(_FACTOR, -1, 1 << 64)
 
 
+def tidy(run):
+    """Gives the memory of a finished task back to the system, as Python workers live on with what they have taken."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if sys.platform == "linux":
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def whole_texts(df: DataFrame) -> DataFrame:
     """Sets smaller Arrow batches where the session has the default of 10,000 rows, as rows hold whole texts."""
     conf = df.sparkSession.conf

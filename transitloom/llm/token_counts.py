@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from transitloom.llm import bpe
 from transitloom.llm.groups import with_totals
-from transitloom.llm.text import blocks
+from transitloom.llm.text import blocks, tidy
 from transitloom.session import cut, step_folder
 
 WORDS = "words-1"
@@ -39,7 +39,7 @@ def _counts(source, bpe_version: str):
             for version, n in ((WORDS, words), (bpe_version, pieces)):
                 yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([version] * batch.num_rows, pa.string()), pa.array(n, pa.int64())], names=["source", "lang", "sign", "version", "tokens"])
 
-    return run
+    return tidy(run)
 
 
 def signed_sums(changes: DataFrame, tokenizer: str, version: str) -> DataFrame:

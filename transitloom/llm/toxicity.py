@@ -22,7 +22,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
-from transitloom.llm.text import raw_texts, whole_texts
+from transitloom.llm.text import raw_texts, tidy, whole_texts
 from transitloom.session import cut
 
 TOXIC_ROWS, ORDINARY_ROWS, CALIBRATION_ROWS = 1500, 3000, 4000
@@ -67,6 +67,7 @@ def dictionary(general: list[bytes], own: list[bytes]) -> bytes:
     return b" " + b" ".join([*reversed(general), *reversed(own)]) + b" "
 
 
+@tidy
 def _word_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for text, toxic in zip(raw_texts(batch.column(0)), batch.column(1).to_pylist()):
@@ -81,7 +82,7 @@ def _features(model):
             found = [tool.features(t) for t in raw_texts(batch.column(0))]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.float64()))], names=["toxic", "features"])
 
-    return run
+    return tidy(run)
 
 
 def _scores(model, curve):
@@ -92,7 +93,7 @@ def _scores(model, curve):
             scores = [1 / (1 + np.exp(-np.clip(((np.array(tool.features(t)) - mean) / spread) @ weights + bias, -30, 30))) for t in raw_texts(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["id", "score"])
 
-    return run
+    return tidy(run)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, steps: int = 3000, rate: float = 0.5, decay: float = 1e-4):
