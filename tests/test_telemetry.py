@@ -79,13 +79,16 @@ def test_poisson_table_and_replication_balance(ctx):
     assert seg and all(abs(s.m - s.b) < 1e-9 * max(1.0, s.b) for s in seg)
 
 
-def test_series_stats_agree_for_small_and_large_keys(spark):
-    df = spark.createDataFrame([("k", float(i * i % 37)) for i in range(200)] + [("one", 3.0)], "k STRING, v DOUBLE")
-    a = {r.k: r for r in resample.series_stats(df, ["k"], "v").collect()}
-    b = {r.k: r for r in resample.series_stats(df, ["k"], "v", large_keys=True).collect()}
-    assert a["one"].std == 0.0
-    for k in a:
-        assert all(abs(a[k][f] - b[k][f]) < 1e-9 for f in ["mean", "std", "p05", "p95", "min", "max"])
+def test_series_stats_are_exact(spark):
+    import numpy as np
+
+    values = [float(i * i % 37) for i in range(200)]
+    df = spark.createDataFrame([("k", v) for v in values] + [("one", 3.0)], "k STRING, v DOUBLE")
+    got = {r.k: r for r in resample.series_stats(df, ["k"], "v").collect()}
+    assert got["one"].std == 0.0 and got["one"].p05 == got["one"].p95 == 3.0
+    k = got["k"]
+    assert abs(k.p05 - np.quantile(values, 0.05)) < 1e-9 and abs(k.p95 - np.quantile(values, 0.95)) < 1e-9
+    assert abs(k.mean - np.mean(values)) < 1e-9 and abs(k.std - np.std(values, ddof=1)) < 1e-9 and (k.min, k.max) == (min(values), max(values))
 
 
 def test_class_resolution(spark):

@@ -67,15 +67,23 @@ def stop_aliases(stops: DataFrame, radius_m: float = C.STOP_ALIAS_RADIUS_M) -> D
 
 
 def hide_generic(stops: DataFrame, radius_m: float = C.NUMBERED_DUPLICATE_RADIUS_M) -> DataFrame:
-    """Drops a stop with a plain name when a numbered stop of that name lies within the radius."""
+    """Drops a stop with a plain name when a numbered stop of that name lies within the radius.
+
+    Stops meet on name and grid cell, so a name that very many stops share is split by place.
+    """
+    cell = radius_m / 100000.0
+    gx, gy = F.floor(F.col("lng") / (cell * 2)), F.floor(F.col("lat") / cell)
+    around = F.array(*[F.struct((gx + dx).alias("gx"), (gy + dy).alias("gy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
     plain = (~is_numbered(F.col("name"))) & (base_name(F.col("name")) == F.trim("name"))
     keyed = stops.withColumn("_key", F.lower(base_name(F.col("name")))).withColumn("_plain", plain)
-    numbered = keyed.filter(is_numbered(F.col("name"))).select(F.col("_key").alias("_nkey"), F.col("lat").alias("_nlat"), F.col("lng").alias("_nlng"))
+    numbered = keyed.filter(is_numbered(F.col("name"))).select(F.col("_key").alias("_nkey"), F.col("lat").alias("_nlat"), F.col("lng").alias("_nlng"), F.explode(around).alias("_g")
+    )
+    keyed = keyed.withColumn("_gx", gx).withColumn("_gy", gy)
     near = (
-        F.col("_plain") & (F.col("_key") == F.col("_nkey"))
+        F.col("_plain") & (F.col("_key") == F.col("_nkey")) & (F.col("_gx") == F.col("_g.gx")) & (F.col("_gy") == F.col("_g.gy"))
         & (distance_m(F.col("lat"), F.col("lng"), F.col("_nlat"), F.col("_nlng")) <= radius_m)
     )
-    return keyed.join(numbered, near, "left_anti").drop("_key", "_plain")
+    return keyed.join(numbered, near, "left_anti").drop("_key", "_plain", "_gx", "_gy")
 
 
 def edge_weights(segments: DataFrame, snapshot: DataFrame | None, corridor_means: DataFrame | None, corridor_mins: DataFrame | None) -> DataFrame:

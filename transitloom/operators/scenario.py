@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from transitloom import constants as C
+from transitloom.functions.scalar import clamp_load
 
 
 def screening_pairs(members: DataFrame, stops_per_line: int = 16, pairs_per_line: int = 12) -> DataFrame:
@@ -214,7 +215,7 @@ def final_comparison(rows: DataFrame, segment_stats: DataFrame, keys: list[str])
     )
 
 
-def success_rows(pairs: DataFrame, steps: DataFrame, recommended: DataFrame, visits: DataFrame, loads: DataFrame, second: int, extra_wait: int = C.MAX_EXTRA_WAIT_MINUTES) -> DataFrame:
+def success_rows(pairs: DataFrame, steps: DataFrame, recommended: DataFrame, visits: DataFrame, loads: DataFrame, second: int, eta_minutes: int = C.MAX_ETA_MINUTES) -> DataFrame:
     """Success of the recommendation per pair against two baselines on the shortest route.
 
     V1 boards the earliest vehicle of every leg at the start time; V2 chooses vehicles by density.
@@ -224,7 +225,7 @@ def success_rows(pairs: DataFrame, steps: DataFrame, recommended: DataFrame, vis
 
     base = steps.filter("candidate = 1")
     legs = R.route_legs(base).filter("kind = 'segmen'").withColumnRenamed("density", "edge_density").withColumn("clock", F.lit(second).cast("bigint"))
-    options = choice.boarding_candidates(legs, visits, loads, ["od_id", "leg"])
+    options = choice.boarding_candidates(legs, visits, loads, ["od_id", "leg"], eta_minutes)
     first = options.groupBy("od_id", "leg").agg(F.min_by("density", F.struct("eta_min", "instance_id")).alias("density"))
     v1 = legs.join(first, ["od_id", "leg"], "left").groupBy("od_id").agg(F.avg(F.coalesce("density", "edge_density")).alias("v1"))
     v2 = recommended.filter("candidate = 1").select("od_id", F.col("route_density").alias("v2"), F.col("route_text").alias("base_text"))
@@ -242,30 +243,33 @@ def config_sweep(pairs: DataFrame, steps: DataFrame, visits: DataFrame, loads: D
     """Win rates of the success configurations; equal settings are evaluated once."""
     from transitloom.operators import choice
 
-    settings = sorted({row[1] for row in C.SUCCESS_CONFIGS})
-    per_wait = None
-    for wait in settings:
-        rows = success_rows(pairs, steps, choice.recommend(steps, visits, loads, second, extra_wait=wait), visits, loads, second, wait)
-        summary = success_summary(rows.withColumn("extra_minutes", F.lit(wait)), ["extra_minutes"])
-        per_wait = summary if per_wait is None else per_wait.unionByName(summary)
-    names = F.array(*[F.struct(F.lit(n).alias("config"), F.lit(w).alias("w")) for n, w, _, _ in C.SUCCESS_CONFIGS])
-    out = per_wait.withColumn("c", F.explode(F.filter(names, lambda x: x["w"] == F.col("extra_minutes"))))
+    per_setting = None
+    for wait, eta, weight in sorted({row[1:] for row in C.SUCCESS_CONFIGS}):
+        chosen = choice.recommend(steps, visits, loads, second, extra_wait=wait, eta_minutes=eta, density_weight=weight)
+        rows = success_rows(pairs, steps, chosen, visits, loads, second, eta)
+        rows = rows.withColumn("extra_minutes", F.lit(wait)).withColumn("eta_minutes", F.lit(eta)).withColumn("density_weight", F.lit(weight))
+        summary = success_summary(rows, ["extra_minutes", "eta_minutes", "density_weight"])
+        per_setting = summary if per_setting is None else per_setting.unionByName(summary)
+    names = F.array(*[F.struct(F.lit(n).alias("config"), F.lit(w).alias("w"), F.lit(e).alias("e"), F.lit(d).alias("d")) for n, w, e, d in C.SUCCESS_CONFIGS])
+    same = lambda x: (x["w"] == F.col("extra_minutes")) & (x["e"] == F.col("eta_minutes")) & (x["d"] == F.col("density_weight"))
+    out = per_setting.withColumn("c", F.explode(F.filter(names, same)))
     shown = ["mean_delta_v1", "mean_wait", "mean_wait_wins", "win_rate_v1", "win_rate_v2"]
     return out.select(
-        F.col("c.config").alias("config"), "extra_minutes", "n", "wins_v1", "wins_v2", *[F.round(s, 4).alias(s) for s in shown], (F.col("win_rate_v1") >= 0.5).alias("passes_half")
+        F.col("c.config").alias("config"), "extra_minutes", "eta_minutes", "density_weight", "n", "wins_v1", "wins_v2", *[F.round(s, 4).alias(s) for s in shown], (F.col("win_rate_v1") >= 0.5).alias("passes_half")
     )
 
 
-def routing_sensitivity(steps: DataFrame, visits: DataFrame, loads: DataFrame, second: int, replications: int) -> DataFrame:
+def routing_sensitivity(steps: DataFrame, visits: DataFrame, loads: DataFrame, second: int, weights: dict[str, float] | None = None) -> DataFrame:
     """Per pair over the replications: paired comparison, route stability and rank correlation.
 
-    Candidate routes do not depend on density, so they are searched once; the replication only enters
-    vehicle choice and ranking.
+    Candidate routes do not depend on density, so they are searched once. Each replication scores them
+    with its own mean density per line, then chooses vehicles by their loads and ranks again.
     """
     from transitloom.operators import choice, resample
     from transitloom.session import cut
 
-    ranked = cut(choice.recommend(steps, visits, loads, second, load_keys=["replication"]))
+    means = loads.groupBy("replication", "corridor_id").agg(clamp_load(F.avg("load")).alias("density"))
+    ranked = cut(choice.recommend(steps, visits, loads, second, load_keys=["replication"], weights=weights, line_means=means))
     keys = ["od_id"]
     base = ranked.filter("candidate = 1").select(*keys, "replication", F.col("route_density").alias("baseline"), F.col("route_text").alias("base_text"), F.col("secs").alias("base_secs"))
     top = ranked.filter("final_rank = 1").select(*keys, "replication", F.col("route_density").alias("recommended"), F.col("route_text").alias("signature"), "secs")
@@ -276,7 +280,8 @@ def routing_sensitivity(steps: DataFrame, visits: DataFrame, loads: DataFrame, s
     compared = resample.paired_comparison(paired, keys)
     stable = resample.route_stability(top, keys)
     corr = resample.rank_correlation(orders, keys)
-    worse = paired.groupBy(*keys).agg(F.count_if(F.col("recommended") > F.col("baseline")).alias("worse"))
+    # Worse by more than rounding; how often the shortest route is among the candidates at all.
+    worse = paired.groupBy(*keys).agg(F.count_if(F.col("baseline") - F.col("recommended") < -0.01).alias("worse"), F.count(F.lit(1)).alias("with_baseline"))
     joined = compared.join(stable, keys, "left").join(corr, keys, "left").join(worse, keys, "left")
     doubles = [n for n, t in joined.dtypes if t == "double"]
     return joined.select([F.round(n, 6).alias(n) if n in doubles else F.col(n) for n in joined.columns])

@@ -11,12 +11,11 @@ from transitloom.operators import demand, network, scenario, shapes
 from transitloom.plans.base import STEPS_SQL, bearing_sql, clamp_sql, dist_sql, norm_sql, r, register, sec_sql
 
 
-@register("scan_project", "SELECT l_orderkey, l_partkey, l_quantity FROM {lineitem} WHERE l_quantity > 45 AND l_returnflag = 'N'")
+@register("scan_project", "SELECT l_orderkey, l_partkey, l_quantity FROM {lineitem}")
 def scan_project(c):
     from transitloom.sources.readers import scan
 
-    rows = scan(c.spark, f"{c.folder}/lineitem.parquet", ["l_orderkey", "l_partkey", "l_quantity", "l_returnflag"])
-    return rows.filter("l_quantity > 45 AND l_returnflag = 'N'").select("l_orderkey", "l_partkey", "l_quantity")
+    return scan(c.spark, f"{c.folder}/lineitem.parquet", ["l_orderkey", "l_partkey", "l_quantity"])
 
 
 @register(

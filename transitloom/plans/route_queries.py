@@ -302,7 +302,7 @@ def config_sweep(c):
     return scenario.config_sweep(c.od, steps, c.visits, c.loads, 28800)
 
 
-REPLICATIONS = 4
+REPLICATIONS = 5
 
 
 @register("sensitivity")
@@ -310,4 +310,4 @@ def sensitivity(c):
     resolved = demand.resolve_ridership(c.t.riders, c.t.members, SERVICE_DATE, RUN_ID)
     loads = c.step("mc_loads_small", lambda: resample.replicated_trip_loads(c.instances, resolved, "12345", REPLICATIONS))
     steps = routes.route_edges(c.routes, c.edges)
-    return scenario.routing_sensitivity(steps, c.visits, loads, 28800, REPLICATIONS)
+    return scenario.routing_sensitivity(steps, c.visits, loads, 28800)
