@@ -103,7 +103,7 @@ def match_summary(matched: DataFrame) -> DataFrame:
         F.max("matched").alias("matched"),
         F.max("pairs").alias("pairs"),
         (F.max("pairs") - F.max("matched")).alias("missing"),
-        F.max("fallback").alias("used_fallback"),
+        (F.max("matched") == 0).alias("used_fallback"),
         (F.max("matched") / F.max("pairs")).alias("match_ratio"),
     )
 
