@@ -53,6 +53,17 @@ def test_neighbours_small_windows_and_empty(spark):
     assert neighbours.neighbour_report(df.where("vec_id IN (0, 5)")).count() == 1  # fewer candidates than asked for
 
 
+def test_neighbours_whole_where_windows_see_a_part(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, np.float32(rng.normal(size=8)).tolist()) for i in range(9000)]
+    rows += [(9000 + i, rows[i % 50][1]) for i in range(200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {}
+    for r in neighbours.nearest(df, F.col("vec_id") % 100 == 0, curves=1, window=1).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == {i: [j for j, _ in own] for i, own in brute_nearest(rows).items()}
+
+
 def test_hilbert_neighbours_touch():
     cells = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij"), axis=-1).reshape(-1, 3)
     key = neighbours.hilbert_keys(cells, 3)
