@@ -112,7 +112,8 @@ class Context:
 
     @cached_property
     def od(self) -> DataFrame:
-        pairs = scenario.screening_pairs(self.t.members).select("origin", "destination").distinct()
+        """All pairs of the request table."""
+        pairs = self.t.catalog.select("origin", "destination").distinct()
         return pairs.select(F.concat_ws(">", "origin", "destination").alias("od_id"), "origin", "destination")
 
     @cached_property
