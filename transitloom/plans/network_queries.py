@@ -141,7 +141,7 @@ SNAP_SQL = f"""
 )
 def edge_weights(c):
     snap = demand.segment_snapshot(c.segment_loads, F.lit(28800))
-    means = demand.corridor_mean(c.loads, c.loads).filter("density < 0.45D")
+    means = demand.corridor_mean(c.loads, c.loads)
     return network.edge_weights(c.t.segments, snap, means, None).select("segment_id", "corridor_id", r("density").alias("density"))
 
 

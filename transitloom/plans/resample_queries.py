@@ -65,7 +65,7 @@ def seeded_draws(c):
 
 @register("mc_trip_loads", "SELECT replication, instance_id, CAST(draw AS INT) AS draw, round(passengers, 4) AS passengers, round(load, 6) AS load FROM {o_mctrips}")
 def mc_trip_loads(c):
-    return mc_trips(c).filter("draw IS NOT NULL").select("replication", "instance_id", "draw", r("passengers", 4).alias("passengers"), r("load").alias("load"))
+    return mc_trips(c).select("replication", "instance_id", "draw", r("passengers", 4).alias("passengers"), r("load").alias("load"))
 
 
 @register(
