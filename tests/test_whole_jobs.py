@@ -4,7 +4,7 @@ from types import SimpleNamespace
 
 import __spark_entry__  # noqa: F401  registers the queries in their order
 from transitloom import constants as C
-from transitloom.plans import network_queries, resample_queries
+from transitloom.plans import network_queries, resample_queries, route_queries
 
 
 def test_route_requests_are_the_whole_request_table(ctx):
@@ -32,3 +32,8 @@ def test_trips_without_ridership_stay_at_the_fallback(spark):
     missing = [r for r in rows if r.instance_id == "i2"]
     assert sorted(r.replication for r in missing) == list(range(resample_queries.RUNS))
     assert all(r.draw is None and r.load == C.DENSITY_FALLBACK for r in missing)
+
+
+def test_replicated_queries_run_all_replications(ctx):
+    assert {r.replication for r in resample_queries.mc_trips(ctx).select("replication").distinct().collect()} == set(range(100))
+    assert route_queries.REPLICATIONS == 100

@@ -13,7 +13,7 @@ from transitloom.plans.base import (
 )
 
 MASTER = "12345"
-RUNS = 10
+RUNS = 100
 
 STEPS_SQL["o_mcdraw"] = f"""
     SELECT instance_id, corridor_id, departure, riders, replication, seed, bw, len(list_filter(CASE bw

@@ -302,7 +302,7 @@ def config_sweep(c):
     return scenario.config_sweep(c.od, steps, c.visits, c.loads, 28800)
 
 
-REPLICATIONS = 5
+REPLICATIONS = 100
 
 
 @register("sensitivity")
