@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from transitloom.llm import bpe, exact_dedup, neighbours, ngram_join, packing, quality, substring_dedup, token_counts, toxicity, warc
+from transitloom.llm import (
+    bpe, collocations, exact_dedup, filter_audit, neighbours, ngram_join, outliers, packing, quality, substring_dedup, token_counts, toxicity, warc,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -126,3 +128,60 @@ def rollup_query(spark: SparkSession, folder: str) -> DataFrame:
 @register("op10_compression_toxicity")
 def toxicity_query(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity_report(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@register(
+    "op11_filter_audit",
+    r"""
+    WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+    w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY text) AS low FROM t),
+    f AS (SELECT doc_id, part, len(words) < 200 AS a, 100 * len(list_distinct(words)) < 50 * len(words) AS b,
+                 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text) AS c, regexp_matches(text, '[#$%&*|]') AS d, coalesce(low < doc_id, false) AS e FROM w),
+    l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+    m AS (SELECT part, a, b, c, d, e, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic, a::INT + b::INT + c::INT + d::INT + e::INT AS fails
+          FROM f LEFT JOIN l USING (doc_id) GROUP BY ALL),
+    x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+    o AS (SELECT concat(p.x, q.x, r.x, s.x, t.x) AS filter_order FROM x p, x q, x r, x s, x t
+          WHERE len(list_distinct([p.x, q.x, r.x, s.x, t.x])) = 5),
+    s AS (SELECT filter_order, step::INT AS step, substr(filter_order, step::INT, 1) AS own, substr(filter_order, 1, step::INT - 1) AS earlier FROM o, range(1, 6) AS g(step)),
+    k AS (SELECT m.*, s.*, CASE own WHEN 'A' THEN a WHEN 'B' THEN b WHEN 'C' THEN c WHEN 'D' THEN d ELSE e END AS hit,
+                 (a AND contains(earlier, 'A')) OR (b AND contains(earlier, 'B')) OR (c AND contains(earlier, 'C')) OR (d AND contains(earlier, 'D')) OR (e AND contains(earlier, 'E')) AS gone
+          FROM m, s),
+    r AS (SELECT part, filter_order, step, any_value(own) AS own, sum(CASE WHEN NOT hit AND NOT gone THEN n ELSE 0 END)::BIGINT AS kept, sum(CASE WHEN hit AND NOT gone THEN n ELSE 0 END)::BIGINT AS removed,
+                 sum(CASE WHEN hit AND gone THEN n ELSE 0 END)::BIGINT AS redundant, sum(CASE WHEN hit AND fails = 1 THEN n ELSE 0 END)::BIGINT AS unique_fails,
+                 sum(CASE WHEN hit AND NOT gone THEN good ELSE 0 END)::BIGINT AS good_lost, sum(CASE WHEN hit AND NOT gone THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+          FROM k GROUP BY part, filter_order, step)
+    SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) OVER (PARTITION BY part, own)::BIGINT AS shapley FROM r
+    """,
+)
+def filter_audit_query(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.interaction_audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@register(
+    "op12_collocations",
+    r"""
+    WITH p AS (SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+    w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM p),
+    g AS (SELECT lang, array_to_string(words[i : i + k - 1], ' ') AS phrase, k FROM (SELECT lang, words, k, unnest(range(1, len(words) - k + 2)) AS i FROM w, range(1, 6) AS ks(k) WHERE len(words) >= k)),
+    f AS (SELECT lang, phrase, k, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+    n AS (SELECT lang, sum(len(words))::BIGINT AS n FROM w GROUP BY lang),
+    c AS (SELECT lang, phrase, k, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE k >= 2),
+    s AS (SELECT lang, a, unnest(flatten([[[array_to_string(ws[i : i + m - 1], ' ')] FOR i IN range(1, k - m + 2)] FOR m IN range(2, k)])) AS sub FROM c WHERE k >= 3),
+    x AS (SELECT lang, sub[1] AS phrase, max(a) AS longest FROM s GROUP BY ALL),
+    u AS (SELECT c.* FROM c LEFT JOIN x USING (lang, phrase) WHERE coalesce(100 * longest, 0) < 100 * a),
+    t AS (SELECT lang, phrase, a, cut, array_to_string(ws[1 : cut], ' ') AS head, array_to_string(ws[cut + 1 : k], ' ') AS rest FROM (SELECT *, unnest(range(1, k)) AS cut FROM u)),
+    q AS (SELECT t.lang, t.phrase, a, cut, h.f AS l, r.f AS r, n.n, (1000::HUGEINT * a * n.n) // (h.f::HUGEINT * r.f) AS score
+          FROM t JOIN f h ON h.lang = t.lang AND h.phrase = t.head JOIN f r ON r.lang = t.lang AND r.phrase = t.rest JOIN n ON n.lang = t.lang),
+    b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS turn FROM q),
+    o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM b WHERE turn = 1)
+    SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM o WHERE rank <= 2000
+    """,
+)
+def collocation_query(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
+@register("op13_quality_outliers")
+def outlier_query(spark: SparkSession, folder: str) -> DataFrame:
+    return outliers.rules_report(table(spark, folder, "documents"))
