@@ -141,3 +141,83 @@ def test_rerank_puts_routes_outside_the_caps_last(spark):
     df = spark.createDataFrame(rows, "od_id STRING, candidate INT, minutes DOUBLE, meters DOUBLE, density DOUBLE, primary_score DOUBLE")
     order = [r.candidate for r in choice.rerank(df, ["od_id"]).orderBy("final_rank").collect()]
     assert order == [2, 1, 3]
+
+
+def _candidates_one_by_one(spark, pairs, moves, k=5):
+    """The candidates as separate searches give them: best route, then every closure of it."""
+    rows = [(od, a, b, None, None) for od, a, b in pairs]
+    schema = "search_id STRING, origin STRING, destination STRING, block_segment STRING, block_corridor STRING"
+    ride = lambda path: [e.split("~") for e in path if e.split("~")[2] == "segmen"]
+    runs = lambda path: [c for i, (*_, c) in enumerate(ride(path)) if i == 0 or ride(path)[i - 1][4] != c]
+    legal = lambda path: len(runs(path)) == len(set(runs(path)))
+    first = {r.search_id: r for r in routes.best_routes(spark.createDataFrame(rows, schema), moves).collect()}
+    again = []
+    for od, a, b in pairs:
+        if od in first and legal(first[od].path):
+            own = ride(first[od].path)
+            again += [(f"{od}#s{i}", a, b, e[3], None) for i, e in enumerate(own[:8])]
+            again += [(f"{od}#c{c}", a, b, None, c) for c in dict.fromkeys(e[4] for e in own)]
+    found = {r.search_id: r for r in routes.best_routes(spark.createDataFrame(again, schema), moves).collect()}
+    out = {}
+    for od, *_ in pairs:
+        if od in first and legal(first[od].path):
+            out[od] = (first[od].cost, {s: (r.cost, legal(r.path)) for s, r in found.items() if s.split("#")[0] == od})
+    return out
+
+
+@pytest.mark.parametrize("seed", [3])
+def test_shared_closures_match_separate_searches(spark, seed):
+    from transitloom.operators import route_search as S
+
+    rng = random.Random(seed)
+    stops = [f"s{i:02d}" for i in range(14)]
+    lines = {}
+    for c in range(5):
+        chosen = rng.sample(stops, 6)
+        hops = [(a, b, rng.randrange(60, 4000)) for a, b in zip(chosen, chosen[1:])]
+        lines[str(c + 1)] = hops + [(b, a, s + 7) for a, b, s in hops] + ([(chosen[0], chosen[2], 500), (chosen[5], chosen[0], 900)] if c % 2 else [])
+    edges = _network(spark, lines)
+    moves = network.route_moves(edges)
+    pairs = [(f"{a}>{b}", a, b) for a in stops[:5] for b in stops if a != b]
+    want = _candidates_one_by_one(spark, pairs, moves)
+    net = S.line_network(moves)
+    origins = spark.createDataFrame([(s,) for s in stops[:5]], "origin STRING")
+    search = S.search_origins(origins, net)
+    segments = sorted({r.segment_id for r in edges.collect() if r.kind == "segmen"})
+    closures = [f"s:{x}" for x in segments] + [f"c:{c}" for c in lines]
+    asked = spark.createDataFrame([(a, x, b) for a in stops[:5] for b in stops if a != b for x in closures], "origin STRING, closure STRING, destination STRING")
+    states, labels = S.search_closures(search, net, asked.select("origin", "closure").distinct())
+    ends = S.closed_ends(asked, search, states, labels)
+    found = S.paths(ends, net, search, states, labels).collect()
+    edge_rows = edges.collect()
+    assert len(found) == ends.count()
+    got = {(r.origin, r.closure, r.destination): r for r in found}
+    secs = {r.segment_id: r.secs for r in edge_rows if r.kind == "segmen"}
+    for a, x, b in rng.sample([tuple(r) for r in asked.collect()], 250):
+        kind, name = x.split(":", 1)
+        best = _brute_force(edge_rows, a, b, block_segment=name if kind == "s" else None, block_corridor=name if kind == "c" else None)
+        r = got.get((a, x, b))
+        assert (r.cost if r else None) == best, (a, x, b)
+        if r:
+            parts = [e.split("~") for e in r.path]
+            assert parts[0][0] == a and parts[-1][1] == b and name not in ([p[3] for p in parts] if kind == "s" else [p[4] for p in parts if p[2] == "segmen"])
+            assert sum(secs[p[3]] if p[2] == "segmen" else 900 for p in parts) == r.cost and sum(p[2] == "transit" for p in parts) == r.transfers
+    verdicts = spark.createDataFrame([(r.path,) for r in found], "path ARRAY<STRING>").select(routes.path_verdict(F.col("path")).alias("v")).distinct().collect()
+    assert {r.v for r in verdicts} == {"ok"}
+    offered = {}
+    for r in routes.candidate_routes(spark.createDataFrame(pairs, "od_id STRING, origin STRING, destination STRING"), moves).collect():
+        offered.setdefault(r.od_id, []).append((r.candidate, r.cost))
+    for od, items in offered.items():
+        costs = [c for _, c in sorted(items)]
+        assert od in want and costs[0] == want[od][0] and costs[1:] == sorted(costs[1:]) and set(costs[1:]) <= {c for c, _ in want[od][1].values()}
+        cheapest = [c for c, fine in want[od][1].values() if fine]
+        assert not cheapest or len(costs) == 1 or costs[1] == min(c for c in cheapest)
+
+
+def test_requests_without_route_and_without_rows(spark):
+    edges = _network(spark, {"1": [("A", "B", 60)], "2": [("C", "D", 60)]})
+    moves = network.route_moves(edges)
+    pairs = spark.createDataFrame([("x", "A", "D"), ("y", "A", "A"), ("z", "A", "B"), ("q", "Z", "B")], "od_id STRING, origin STRING, destination STRING")
+    assert [(r.od_id, r.cost) for r in routes.candidate_routes(pairs, moves).collect()] == [("z", 60)]
+    assert routes.candidate_routes(pairs.limit(0), moves).collect() == []
+    assert [r.od_id for r in routes.candidate_routes(pairs, moves, k=1).collect()] == ["z"]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from transitloom import constants as C
 from transitloom.functions.sequences import collapse_runs, revisits
+from transitloom.operators import route_search as S
 from transitloom.operators.ordered import number_rows
 from transitloom.session import cut, load, store_counted
 
@@ -90,38 +91,35 @@ def candidate_routes(pairs: DataFrame, moves: DataFrame, k: int = C.CANDIDATES_K
                      max_transfers: int = C.MAX_TRANSFERS) -> DataFrame:
     """Up to ``k`` routes per pair (od_id, origin, destination): the best one and detours.
 
-    Detours come from searching again with one of the first ``max_reruns`` ride segments of the best
-    route closed, and with each of its corridors closed. Routes that return to a corridor are
-    rejected; equal paths count once.
+    Detours are the best routes with one of the first ``max_reruns`` ride segments of the best route closed, and with each of
+    its corridors closed. Routes that return to a corridor are rejected; equal paths count once. Searches are shared:
+    one per origin, and per (origin, closure) only the part that the closure breaks (``route_search``).
     """
-    free = pairs.filter("origin <> destination").select(
-        F.col("od_id").alias("search_id"), "origin", "destination", F.lit(None).cast("string").alias("block_segment"),
-        F.lit(None).cast("string").alias("block_corridor"),
-    )
-    first = best_routes(free, moves, max_transfers).filter(~revisits(corridor_sequence(F.col("path"))))
+    wanted = cut(pairs.filter("origin <> destination").select("od_id", "origin", "destination"))
+    net = S.line_network(moves)
+    search = S.search_origins(wanted.select("origin"), net, max_transfers)
+    ends = S.open_ends(wanted.select("origin", "destination").distinct(), search)
+    first = cut(S.paths(ends, net, search).filter(~revisits(corridor_sequence(F.col("path")))))
     if k <= 1:
-        return first.select(F.col("search_id").alias("od_id"), "cost", "transfers", "path", F.lit(1).alias("candidate"))
+        return wanted.join(first, ["origin", "destination"]).select("od_id", "cost", "transfers", "path", F.lit(1).alias("candidate"))
     segments = F.transform(ridden(F.col("path")), lambda e: _part(e, 3))
     if max_reruns > 0:
         segments = F.slice(segments, 1, max_reruns)
-    blocks = F.concat(
-        F.transform(segments, lambda s: F.struct(s.alias("block_segment"), F.lit(None).cast("string").alias("block_corridor"))),
-        F.transform(F.array_distinct(corridor_sequence(F.col("path"))), lambda c: F.struct(F.lit(None).cast("string").alias("block_segment"), c.alias("block_corridor"))),
-    )
-    again = first.join(pairs.select(F.col("od_id").alias("search_id"), "origin", "destination"), "search_id").select(
-        "search_id", "origin", "destination", F.posexplode(blocks).alias("n", "b")
-    ).select(
-        F.concat_ws("#", "search_id", F.col("n").cast("string")).alias("search_id"), "origin", "destination", "b.block_segment", "b.block_corridor",
-        F.col("search_id").alias("od_id"), "n",
+    closures = F.concat(
+        F.transform(segments, lambda s: S.segment_closure(s)), F.transform(F.array_distinct(corridor_sequence(F.col("path"))), lambda c: S.corridor_closure(c))
     )
-    again = cut(again)
-    detours = best_routes(again, moves, max_transfers).filter(~revisits(corridor_sequence(F.col("path"))))
-    found = detours.join(again.select("search_id", "od_id", "n"), "search_id").select("od_id", "cost", "transfers", "path", (F.col("n") + 1).alias("n"))
-    every = first.select(F.col("search_id").alias("od_id"), "cost", "transfers", "path", F.lit(0).alias("n")).unionByName(found)
-    unique = every.groupBy("od_id", "path").agg(F.min("n").alias("n"), F.first("cost").alias("cost"), F.first("transfers").alias("transfers"))
+    asked = cut(first.select("origin", "destination", F.posexplode(closures).alias("n", "closure")))
+    keys = ["origin", "closure", "destination"]
+    states, labels = S.search_closures(search, net, cut(asked.select("origin", "closure").distinct()), max_transfers)
+    again = S.closed_ends(asked.select(*keys).distinct(), search, states, labels)
+    found = S.paths(again, net, search, states, labels).filter(~revisits(corridor_sequence(F.col("path"))))
+    detours = asked.groupBy(*keys).agg(F.min("n").alias("n")).join(found, keys).select("origin", "destination", "cost", "transfers", "path", (F.col("n") + 1).alias("n"))
+    every = first.select("origin", "destination", "cost", "transfers", "path", F.lit(0).alias("n")).unionByName(detours)
+    unique = every.groupBy("origin", "destination", "path").agg(F.min("n").alias("n"), F.first("cost").alias("cost"), F.first("transfers").alias("transfers"))
     # The best route stays first; the others follow by cost.
-    w = Window.partitionBy("od_id").orderBy(F.col("n") != 0, "cost", "n")
-    return unique.withColumn("candidate", F.row_number().over(w)).filter(F.col("candidate") <= k).select("od_id", "cost", "transfers", "path", "candidate")
+    w = Window.partitionBy("origin", "destination").orderBy(F.col("n") != 0, "cost", "n")
+    best = unique.withColumn("candidate", F.row_number().over(w)).filter(F.col("candidate") <= k)
+    return wanted.join(best, ["origin", "destination"]).select("od_id", "cost", "transfers", "path", "candidate")
 
 
 def route_edges(routes: DataFrame, edges: DataFrame) -> DataFrame:
