@@ -215,41 +215,45 @@ def final_comparison(rows: DataFrame, segment_stats: DataFrame, keys: list[str])
     )
 
 
-def success_rows(pairs: DataFrame, steps: DataFrame, recommended: DataFrame, visits: DataFrame, loads: DataFrame, second: int, eta_minutes: int = C.MAX_ETA_MINUTES) -> DataFrame:
-    """Success of the recommendation per pair against two baselines on the shortest route.
+def success_rows(pairs: DataFrame, steps: DataFrame, recommended: DataFrame, visits: DataFrame, loads: DataFrame, second: int, eta_minutes: int = C.MAX_ETA_MINUTES,
+                 settings: list[tuple[int, int, float]] | None = None) -> DataFrame:
+    """Success of the recommendation per pair (and setting) against two baselines on the shortest route.
 
-    V1 boards the earliest vehicle of every leg at the start time; V2 chooses vehicles by density.
-    Pairs without a route keep nulls and a reason.
+    V1 boards the earliest vehicle of every leg at the start time; V2 chooses vehicles by density. Legs of different pairs that
+    board at the same stop of a line are one boarding. Pairs without a route keep nulls and a reason.
     """
     from transitloom.operators import choice, routes as R
 
     base = steps.filter("candidate = 1")
     legs = R.route_legs(base).filter("kind = 'segmen'").withColumnRenamed("density", "edge_density").withColumn("clock", F.lit(second).cast("bigint"))
-    options = choice.boarding_candidates(legs, visits, loads, ["od_id", "leg"], eta_minutes)
-    first = options.groupBy("od_id", "leg").agg(F.min_by("density", F.struct("eta_min", "instance_id")).alias("density"))
-    v1 = legs.join(first, ["od_id", "leg"], "left").groupBy("od_id").agg(F.avg(F.coalesce("density", "edge_density")).alias("v1"))
-    v2 = recommended.filter("candidate = 1").select("od_id", F.col("route_density").alias("v2"), F.col("route_text").alias("base_text"))
-    top = recommended.filter("final_rank = 1").select("od_id", F.col("route_density").alias("rec"), F.col("mean_extra_wait").alias("extra_wait"), "route_text")
-    joined = pairs.join(v1, "od_id", "left").join(v2, "od_id", "left").join(top, "od_id", "left")
+    keys = ["od_id"]
+    place = ["corridor_id", "board_stop", "clock"]
+    reach, longest = eta_minutes, None
+    if settings is not None:
+        legs, pairs = choice.with_settings(legs, settings), choice.with_settings(pairs, settings)
+        keys, place = [*keys, *choice.SETTING], [*place, "eta_minutes"]
+        reach, longest = F.col("eta_minutes"), max(e for _, e, _ in settings)
+    options = choice.boarding_candidates(legs.select(*place).distinct(), visits, loads, place, reach, longest=longest)
+    first = options.groupBy(*place).agg(F.min_by("density", F.struct("eta_min", "instance_id")).alias("density"))
+    v1 = legs.join(first, place, "left").groupBy(*keys).agg(F.avg(F.coalesce("density", "edge_density")).alias("v1"))
+    v2 = recommended.filter("candidate = 1").select(*keys, F.col("route_density").alias("v2"), F.col("route_text").alias("base_text"))
+    top = recommended.filter("final_rank = 1").select(*keys, F.col("route_density").alias("rec"), F.col("mean_extra_wait").alias("extra_wait"), "route_text")
+    joined = pairs.join(v1, keys, "left").join(v2, keys, "left").join(top, keys, "left")
     delta = lambda a: F.round(F.col(a) - F.col("rec"), 4)
     return joined.select(
-        "od_id", F.round("v1", 4).alias("d_base_v1"), F.round("v2", 4).alias("d_base_v2"), F.round("rec", 4).alias("d_rec"), delta("v1").alias("delta_v1"),
+        *keys, F.round("v1", 4).alias("d_base_v1"), F.round("v2", 4).alias("d_base_v2"), F.round("rec", 4).alias("d_rec"), delta("v1").alias("delta_v1"),
         delta("v2").alias("delta_v2"), F.round("extra_wait", 3).alias("extra_wait"), (F.col("base_text") != F.col("route_text")).alias("route_changed"),
         F.when(F.col("rec").isNull(), "no_route").alias("reason"),
     )
 
 
 def config_sweep(pairs: DataFrame, steps: DataFrame, visits: DataFrame, loads: DataFrame, second: int) -> DataFrame:
-    """Win rates of the success configurations; equal settings are evaluated once."""
+    """Win rates of the success configurations: one plan with the setting as a key; equal settings are evaluated once."""
     from transitloom.operators import choice
 
-    per_setting = None
-    for wait, eta, weight in sorted({row[1:] for row in C.SUCCESS_CONFIGS}):
-        chosen = choice.recommend(steps, visits, loads, second, extra_wait=wait, eta_minutes=eta, density_weight=weight)
-        rows = success_rows(pairs, steps, chosen, visits, loads, second, eta)
-        rows = rows.withColumn("extra_minutes", F.lit(wait)).withColumn("eta_minutes", F.lit(eta)).withColumn("density_weight", F.lit(weight))
-        summary = success_summary(rows, ["extra_minutes", "eta_minutes", "density_weight"])
-        per_setting = summary if per_setting is None else per_setting.unionByName(summary)
+    settings = sorted({tuple(row[1:]) for row in C.SUCCESS_CONFIGS})
+    chosen = choice.recommend(steps, visits, loads, second, settings=settings)
+    per_setting = success_summary(success_rows(pairs, steps, chosen, visits, loads, second, settings=settings), choice.SETTING)
     names = F.array(*[F.struct(F.lit(n).alias("config"), F.lit(w).alias("w"), F.lit(e).alias("e"), F.lit(d).alias("d")) for n, w, e, d in C.SUCCESS_CONFIGS])
     same = lambda x: (x["w"] == F.col("extra_minutes")) & (x["e"] == F.col("eta_minutes")) & (x["d"] == F.col("density_weight"))
     out = per_setting.withColumn("c", F.explode(F.filter(names, same)))
