@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Column, functions as F
 
 from transitloom import constants as C
 from transitloom.functions.draws import clamped_normal, poisson, stable_hash, uniform
@@ -16,20 +16,43 @@ MASTER = "12345"
 RUNS = 100
 
 STEPS_SQL["o_mcdraw"] = f"""
-    SELECT instance_id, corridor_id, departure, riders, replication, seed, bw, len(list_filter(CASE bw
-           {' '.join(f"WHEN {w}::DOUBLE THEN {cdf_sql(w * C.POISSON_SCALE)}" for w in sorted({x[3] for x in C.TIME_BANDS}))} END, lambda p: p < u)) AS draw
+    SELECT instance_id, corridor_id, departure, riders, CAST(round(riders * 100) AS HUGEINT) AS total, replication, seed, bw, CASE WHEN riders IS NOT NULL THEN len(list_filter(CASE bw
+           {' '.join(f"WHEN {w}::DOUBLE THEN {cdf_sql(w * C.POISSON_SCALE)}" for w in sorted({x[3] for x in C.TIME_BANDS}))} END, lambda p: p < u)) END AS draw
     FROM (SELECT i.instance_id, i.corridor_id, i.departure, u.riders, rep.replication, {hash_sql(f"'{MASTER}'", 'rep.replication')} AS seed, {band_sql('i.departure', 3)} AS bw,
                  {uniform_sql(hash_sql(f"'{MASTER}'", 'rep.replication'), 'i.corridor_id', 'i.instance_id', "'trip'")} AS u
-          FROM {{o_instances}} i JOIN {{o_used}} u ON u.corridor_id = i.corridor_id, (SELECT unnest(range(0, {RUNS})) AS replication) rep) z"""
+          FROM {{o_instances}} i LEFT JOIN {{o_used}} u ON u.corridor_id = i.corridor_id, (SELECT unnest(range(0, {RUNS})) AS replication) rep) z"""
 STEPS_SQL["o_mctrips"] = """
-    SELECT *, CASE WHEN sw > 0 THEN riders * (draw::DOUBLE / sw) ELSE riders * (bw / sbw) END AS passengers, CASE WHEN sw > 0 THEN riders * (draw::DOUBLE / sw) ELSE riders * (bw / sbw) END / 80 AS load
-    FROM (SELECT *, sum(draw) OVER (PARTITION BY replication, corridor_id) AS sw, sum(bw) OVER (PARTITION BY replication, corridor_id) AS sbw FROM {o_mcdraw}) d"""
+    SELECT *, load * 80 AS passengers FROM (
+      SELECT *, CASE WHEN riders IS NULL THEN 0.5::DOUBLE WHEN sw > 0 THEN riders * (draw::DOUBLE / sw) / 80 ELSE riders * (bw / sbw) / 80 END AS load,
+             CASE WHEN riders IS NULL THEN 1 WHEN sw > 0 THEN total * draw END AS num, CASE WHEN riders IS NULL THEN 2 WHEN sw > 0 THEN 8000 * sw END AS den
+      FROM (SELECT *, CAST(sum(draw) OVER (PARTITION BY replication, corridor_id) AS HUGEINT) AS sw, sum(bw) OVER (PARTITION BY replication, corridor_id) AS sbw FROM {o_mcdraw}) d) e"""
 STEPS_SQL["o_mcseg"] = f"""
-    SELECT *, CASE WHEN m > 0 THEN base * draw / m ELSE base END AS segment_load FROM (
-      SELECT *, avg(draw) OVER (PARTITION BY replication, instance_id) AS m FROM (
-        SELECT t.replication, t.seed, h.instance_id, h.corridor_id, h.pos, h.segment_id, h.dep, h.next_arr, t.load AS base,
+    SELECT *, CASE WHEN sd > 0 THEN base * draw / (sd / n) ELSE base END AS segment_load, CASE WHEN sd > 0 THEN num * draw * n ELSE num END AS snum, CASE WHEN sd > 0 THEN den * sd ELSE den END AS sden FROM (
+      SELECT *, CAST(sum(draw) OVER w AS HUGEINT) AS sd, count(*) OVER w AS n FROM (
+        SELECT t.replication, t.seed, h.instance_id, h.corridor_id, h.pos, h.segment_id, h.dep, h.next_arr, t.load AS base, t.num, t.den,
                {poisson_sql(25.0, 't.seed', 'h.corridor_id', 'h.instance_id', 'h.segment_id', "'segment'")} AS draw
-        FROM {{o_ridden}} h JOIN {{o_mctrips}} t ON t.instance_id = h.instance_id) a) b"""
+        FROM {{o_ridden}} h JOIN {{o_mctrips}} t ON t.instance_id = h.instance_id) a WINDOW w AS (PARTITION BY replication, instance_id)) b"""
+
+
+def exact_sql(num: str, den: str, digits: int, otherwise: str) -> str:
+    """A quotient of whole numbers, rounded half up without passing through a double; ``otherwise`` where there is none."""
+    unit = 10**digits
+    return f"CASE WHEN {den} > 0 THEN CAST((2 * {unit}::HUGEINT * {num} + {den}) // (2 * {den}) AS DOUBLE) / {unit} ELSE round({otherwise}, {digits}) END"
+
+
+def exact(num: Column, den: Column, digits: int, otherwise: Column) -> Column:
+    unit = 10**digits
+    wide = lambda c, n: c.cast(f"decimal({n},0)")
+    whole = F.call_function("div", wide(F.lit(2 * unit), 8) * wide(num, 27) + wide(den, 27), wide(F.lit(2), 1) * wide(den, 27))
+    return F.when(den > 0, whole.cast("double") / unit).otherwise(F.round(otherwise, digits))
+
+
+def trip_fraction(riders: Column, draw: Column, draw_sum: Column) -> tuple[Column, Column]:
+    """The load of a trip as whole numbers (rides are hundredths, seats 80); null where the draws of the line are all zero."""
+    total = F.round(riders * 100).cast("decimal(18,0)")
+    num = F.when(riders.isNull(), F.lit(1).cast("decimal(27,0)")).when(draw_sum > 0, (total * draw.cast("decimal(6,0)")).cast("decimal(27,0)"))
+    den = F.when(riders.isNull(), F.lit(2).cast("decimal(27,0)")).when(draw_sum > 0, (F.lit(8000).cast("decimal(4,0)") * draw_sum.cast("decimal(18,0)")).cast("decimal(27,0)"))
+    return num, den
 
 
 def mc_trips(c):
@@ -63,19 +86,32 @@ def seeded_draws(c):
     return c.t.orders.select("o_orderkey", r(clamped_normal(1.0, 0.15, 0.6, 1.4, k, F.lit("x"))).alias("noise"), poisson(25.0, k, F.lit("seg")).alias("draw"))
 
 
-@register("mc_trip_loads", "SELECT replication, instance_id, CAST(draw AS INT) AS draw, round(passengers, 4) AS passengers, round(load, 6) AS load FROM {o_mctrips}")
+@register(
+    "mc_trip_loads",
+    f"SELECT replication, instance_id, CAST(draw AS INT) AS draw, {exact_sql('80 * num', 'den', 4, 'passengers')} AS passengers, {exact_sql('num', 'den', 6, 'load')} AS load FROM {{o_mctrips}}",
+)
 def mc_trip_loads(c):
-    return mc_trips(c).select("replication", "instance_id", "draw", r("passengers", 4).alias("passengers"), r("load").alias("load"))
+    rows = mc_trips(c)
+    num, den = trip_fraction(F.col("riders"), F.col("draw"), F.col("draw_sum"))
+    return rows.select(
+        "replication", "instance_id", "draw", exact(F.lit(80).cast("decimal(2,0)") * num, den, 4, F.col("passengers")).alias("passengers"), exact(num, den, 6, F.col("load")).alias("load")
+    )
 
 
 @register(
     "mc_segment_loads",
-    "SELECT replication, instance_id, pos, segment_id, draw, round(segment_load, 6) AS segment_load, dep <= 28800 AND 28800 < next_arr AS active FROM {o_mcseg}",
+    f"SELECT replication, instance_id, pos, segment_id, draw, {exact_sql('snum', 'sden', 6, 'segment_load')} AS segment_load, dep <= 28800 AND 28800 < next_arr AS active FROM {{o_mcseg}}",
 )
 def mc_segment_loads(c):
     rows = mc_segments(c)
     active = (F.col("dep") <= 28800) & (F.lit(28800) < F.col("next_arr"))
-    return rows.select("replication", "instance_id", "pos", "segment_id", "draw", r("segment_load").alias("segment_load"), active.alias("active"))
+    num, den = trip_fraction(F.col("trip.riders"), F.col("trip.draw"), F.col("trip.draw_sum"))
+    drawn = F.col("trip_draws") > 0
+    whole = lambda c: c.cast("decimal(6,0)")
+    load = exact(
+        F.when(drawn, num * whole(F.col("draw")) * whole(F.col("trip_hops"))).otherwise(num), F.when(drawn, den * whole(F.col("trip_draws"))).otherwise(den), 6, F.col("segment_load")
+    )
+    return rows.select("replication", "instance_id", "pos", "segment_id", "draw", load.alias("segment_load"), active.alias("active"))
 
 
 @register(
