@@ -216,17 +216,31 @@ def _unsettled(classes: DataFrame, shared: DataFrame, labels: DataFrame, num: in
     spans = marked.groupBy("group_id").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size"))
     at = shared.select("token", "group_id", "place").join(spans, "group_id")
     open_tokens = at.groupBy("token").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("token")
-    by_token = shared.select("token", "group_id", "place").join(open_tokens, "token").select(F.col("token").alias("key"), "group_id", "place")
+    # A pair of different components only shares open tokens, so it is met once, at the first open token that both have. Each entry
+    # carries the open tokens of its group before its own, at most a prefix.
+    held = shared.select("token", "group_id", "place").join(open_tokens, "token").groupBy("group_id").agg(F.array_sort(F.collect_list(F.struct("place", "token"))).alias("own"))
+    by_token = held.select("group_id", "own", F.posexplode("own").alias("i", "at")).select(
+        F.col("at.token").alias("key"), "group_id", F.col("at.place").alias("place"), F.transform(F.slice("own", F.lit(1), F.col("i")), lambda e: e["token"]).alias("before"), F.lit(False).alias("inner")
+    )
     # The classes of one group are candidates of each other: the group acts as one more token.
-    by_group = spans.where("low <> high").select(F.xxhash64(F.lit("group"), "group_id").alias("key"), "group_id", F.lit(0).alias("place"))
-    entries = by_token.union(by_group).join(marked, "group_id").select("key", "class_id", "n", "label", "place")
+    by_group = spans.where("low <> high").select(
+        F.xxhash64(F.lit("group"), "group_id").alias("key"), "group_id", F.lit(0).alias("place"), F.array().cast("array<long>").alias("before"), F.lit(True).alias("inner")
+    )
+    entries = by_token.union(by_group).join(marked, "group_id").select("key", "inner", "group_id", "before", "class_id", "n", "label", "place")
     entries = cut(entries)
-    largest = entries.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("main"))
-    left = entries.join(largest, "key").where("label <> main").select("key", F.col("class_id").alias("x"), F.col("n").alias("nx"), F.col("label").alias("lx"), F.col("place").alias("px"))
-    right = entries.select("key", F.col("class_id").alias("y"), F.col("n").alias("ny"), F.col("label").alias("ly"), F.col("place").alias("py"))
+    keys = ["key", "inner"]
+    largest = entries.groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("c")).groupBy(*keys).agg(F.max_by("label", F.struct("c", "label")).alias("main"))
+    side = lambda df, name: df.select(
+        *keys, F.col("class_id").alias(name), *[F.col(c).alias(f"{s}{name}") for c, s in [("n", "n"), ("label", "l"), ("place", "p"), ("before", "b"), ("group_id", "g"), ("main", "m")]]
+    )
+    marked_entries = entries.join(largest, keys)
+    left, right = side(marked_entries.where("label <> main"), "x"), side(marked_entries, "y")
     # Position filter: a pair that qualifies passes at its first common shingle, after which all its common shingles come.
     need = f"ceil({num} * (nx + ny) / {num + den})"
-    near = left.join(right, "key").where(f"lx <> ly AND {den} * least(nx, ny) >= {num} * greatest(nx, ny) AND least(nx - px, ny - py) >= {need}")
+    near = left.join(right, keys).where(
+        # Where both lie outside the largest component, one side meets the other.
+        f"lx <> ly AND (ly = my OR x < y) AND (inner OR gx <> gy) AND {den} * least(nx, ny) >= {num} * greatest(nx, ny) AND least(nx - px, ny - py) >= {need} AND NOT arrays_overlap(bx, by)"
+    )
     return near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
