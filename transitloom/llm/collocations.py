@@ -39,7 +39,7 @@ from transitloom.session import cut, load, store_counted
 MIN_COUNT = 100
 MAX_WORDS = 5
 FIRST = 2000
-SIZE = 1 << 21
+SIZE = 3 << 21
 HOT_SHARE = 1000
 PLACES = 64
 _BREAK = np.zeros(256, dtype=bool)
@@ -85,68 +85,75 @@ def _lang_numbers(langs: list[str]) -> np.ndarray:
     return np.fromiter((known[x] for x in langs), dtype=np.uint64, count=len(langs))
 
 
-def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[Words, pa.Array]]:
-    """Words of consecutive texts and the language of each text. The batch has columns lang and text."""
-    langs = batch.column(0)
-    numbers = _lang_numbers(langs.to_pylist())
-    for first, texts in groups(batch.column(1), SIZE, batch.num_rows):
-        yield Words(texts, numbers[first : first + len(texts)]), langs.slice(first, len(texts))
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Words, pa.Array]]:
+    """Words of consecutive texts and the language of each text. Batches (lang, text) are put together up to ``SIZE`` bytes."""
+    held: list[pa.RecordBatch] = []
+
+    def flush() -> Iterator[tuple[Words, pa.Array]]:
+        table = pa.Table.from_batches(held).combine_chunks()
+        langs = table.column(0).combine_chunks()
+        numbers = _lang_numbers(langs.to_pylist())
+        for first, texts in groups(table.column(1).combine_chunks(), SIZE, table.num_rows):
+            yield Words(texts, numbers[first : first + len(texts)]), langs.slice(first, len(texts))
+
+    for batch in batches:
+        if held and sum(b.nbytes for b in held) + batch.nbytes > SIZE:
+            yield from flush()
+            held = []
+        if batch.num_rows:
+            held.append(batch)
+    if held:
+        yield from flush()
 
 
 @tidy
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for words, langs in _blocks(batch):
-            _, first, n = np.unique(words.hash, return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pc.take(langs, pa.array(words.text[first])), words.phrases(first, 1), pa.array(n)], names=["lang", "phrase", "n"])
+    for words, langs in _blocks(batches):
+        _, first, n = np.unique(words.hash, return_index=True, return_counts=True)
+        yield pa.RecordBatch.from_arrays([pc.take(langs, pa.array(words.text[first])), words.phrases(first, 1), pa.array(n)], names=["lang", "phrase", "n"])
 
 
 @tidy
 def _hash_phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Hashes of whole phrases (columns lang, phrase), as counting tasks compute them."""
-    for batch in batches:
-        for words, _ in _blocks(batch):
-            if len(words.text):
-                first = np.flatnonzero(np.append(True, words.text[1:] != words.text[:-1]))
-                width = int(len(words.text) / len(first))
-                yield pa.RecordBatch.from_arrays([pa.array(sequence_hashes(words.hash, width)[first].view(np.int64))], names=["h"])
+    for words, _ in _blocks(batches):
+        if len(words.text):
+            first = np.flatnonzero(np.append(True, words.text[1:] != words.text[:-1]))
+            width = int(len(words.text) / len(first))
+            yield pa.RecordBatch.from_arrays([pa.array(sequence_hashes(words.hash, width)[first].view(np.int64))], names=["h"])
 
 
 def _stripes(width: int, bits, cells: int, hot: np.ndarray):
-    """Stripes of the prefixes of ``width`` words that the filter passes: lang, prefix, place, next words and counts."""
+    """Stripes of the prefixes of ``width`` words that the filter passes, packed as ``merge_stripes`` reads them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for words, langs in _blocks(batch):
-                own = sequence_hashes(words.hash, width)
-                if not len(own):
-                    continue
-                inside = words.piece[: len(own)] == words.piece[width - 1 :]
-                known = np.zeros(len(own) + 1, dtype=bool)
-                known[np.flatnonzero(inside)] = hit(bits.value, own[inside].view(np.int64), cells)
-                at = np.flatnonzero(known)
-                if not len(at):
-                    continue
-                last = np.minimum(at + width, len(words.hash) - 1)
-                follows = known[at + 1] & (at + width < len(words.hash)) & (words.piece[at] == words.piece[last])
-                prefix = own[at]
-                key = np.where(follows, mix(prefix * _NEXT + words.hash[last]), prefix ^ _END)
-                _, first, n = np.unique(key, return_index=True, return_counts=True)
-                spread = follows[first] & np.isin(words.hash[at[first]], hot)
-                place = np.where(spread, words.hash[last[first]] % np.uint64(PLACES), 0).astype(np.int32)
-                order = np.lexsort((place, prefix[first]))
-                first, n, place = first[order], n[order], place[order]
-                heads = np.flatnonzero(np.append(True, (prefix[first][1:] != prefix[first][:-1]) | (place[1:] != place[:-1])))
-                offsets = pa.array(np.append(heads, len(first)), pa.int32())
-                nexts = words.phrases(last[first], 1)
-                nexts = pc.if_else(pa.array(follows[first]), nexts, pa.scalar(None, pa.string()))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pc.take(langs, pa.array(words.text[at[first[heads]]])), words.phrases(at[first[heads]], width), pa.array(place[heads]),
-                        pa.ListArray.from_arrays(offsets, nexts), pa.ListArray.from_arrays(offsets, pa.array(n)),
-                    ],
-                    names=["lang", "prefix", "place", "next", "n"],
-                )
+        for words, langs in _blocks(batches):
+            own = sequence_hashes(words.hash, width)
+            if not len(own):
+                continue
+            inside = words.piece[: len(own)] == words.piece[width - 1 :]
+            known = np.zeros(len(own) + 1, dtype=bool)
+            known[np.flatnonzero(inside)] = hit(bits.value, own[inside].view(np.int64), cells)
+            at = np.flatnonzero(known)
+            if not len(at):
+                continue
+            last = np.minimum(at + width, len(words.hash) - 1)
+            follows = known[at + 1] & (at + width < len(words.hash)) & (words.piece[at] == words.piece[last])
+            prefix = own[at]
+            key = np.where(follows, mix(prefix * _NEXT + words.hash[last]), prefix ^ _END)
+            _, first, n = np.unique(key, return_index=True, return_counts=True)
+            spread = follows[first] & np.isin(words.hash[at[first]], hot)
+            place = np.where(spread, words.hash[last[first]] % np.uint64(PLACES), 0).astype(np.int32)
+            order = np.lexsort((place, prefix[first]))
+            first, n, place = first[order], n[order], place[order]
+            heads = np.flatnonzero(np.append(True, (prefix[first][1:] != prefix[first][:-1]) | (place[1:] != place[:-1])))
+            offsets = pa.array(np.append(heads, len(first)), pa.int32())
+            nexts = pc.if_else(pa.array(follows[first]), words.phrases(last[first], 1), pa.scalar("", pa.string()))
+            cells_of = pc.binary_join_element_wise(pa.array(n).cast(pa.string()), nexts, " ")
+            keys = pc.binary_join_element_wise(
+                words.phrases(at[first[heads]], width), pa.array(place[heads]).cast(pa.string()), pc.take(langs, pa.array(words.text[at[first[heads]]])), "\n"
+            )
+            yield pa.RecordBatch.from_arrays([keys, pc.binary_join(pa.ListArray.from_arrays(offsets, cells_of), "\n")], names=["key", "cells"])
 
     return tidy(run)
 
@@ -154,15 +161,20 @@ def _stripes(width: int, bits, cells: int, hot: np.ndarray):
 def merge_stripes(stripes: DataFrame, min_count: int) -> DataFrame:
     """lang, prefix, place, total, widest (largest count of a next word) and the entries that are frequent, one row per place.
 
-    The stripes are dealt by prefix and place once; both groupings below use that.
+    A stripe travels as two strings, as words hold neither spaces nor line ends: prefix, place and language, and its cells
+    (count and next word, which is empty where none follows). Stripes are dealt by key once; both groupings below use that.
     """
-    dealt = stripes.repartition("lang", "prefix", "place")
-    each = dealt.select("lang", "prefix", "place", F.explode(F.arrays_zip("next", "n")).alias("e")).select("lang", "prefix", "place", "e.next", "e.n")
-    summed = each.groupBy("lang", "prefix", "place", "next").agg(F.sum("n").alias("n"))
+    dealt = stripes.repartition("key")
+    each = dealt.select("key", F.explode(F.split("cells", "\n")).alias("c")).select(
+        "key", F.expr("substr(c, instr(c, ' ') + 1)").alias("next"), F.expr("cast(substr(c, 1, instr(c, ' ') - 1) as bigint)").alias("n")
+    )
+    summed = each.groupBy("key", F.nullif("next", F.lit("")).alias("next")).agg(F.sum("n").alias("n"))
     frequent = F.when(F.col("next").isNotNull() & (F.col("n") >= min_count), F.struct("next", "n"))
-    return summed.groupBy("lang", "prefix", "place").agg(
+    merged = summed.groupBy("key").agg(
         F.sum("n").alias("total"), F.max(F.when(F.col("next").isNotNull(), F.col("n"))).alias("widest"), F.collect_list(frequent).alias("entries")
     )
+    part = F.split("key", "\n", 3)
+    return merged.select(part[2].alias("lang"), part[0].alias("prefix"), part[1].cast("int").alias("place"), "total", "widest", "entries")
 
 
 def phrase_stripes(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min_count: int = MIN_COUNT, max_words: int = MAX_WORDS,
@@ -187,7 +199,7 @@ def phrase_stripes(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
         if not rows:
             break
         bloom = Bloom(load(docs.sparkSession, hashed.schema, path), rows, max_cells)
-        stripes = texts.mapInArrow(_stripes(width, bloom.bits, bloom.cells, hot), "lang string, prefix string, place int, next array<string>, n array<long>")
+        stripes = texts.mapInArrow(_stripes(width, bloom.bits, bloom.cells, hot), "key string, cells string")
         merged = cut(merge_stripes(stripes, min_count))
         found.append(merged)
         frequent = merged.select("lang", "prefix", F.explode("entries").alias("e")).select("lang", F.concat_ws(" ", "prefix", "e.next").alias("phrase"))
