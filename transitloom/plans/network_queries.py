@@ -137,7 +137,7 @@ SNAP_SQL = f"""
     f"""
     SELECT s.segment_id, s.corridor_id, round(coalesce(p.density, m.density, 0.5::DOUBLE), 6) AS density FROM {{segments}} s
     LEFT JOIN ({SNAP_SQL}) p ON p.segment_id = s.segment_id
-    LEFT JOIN (SELECT corridor_id, {clamp_sql('avg(load)')} AS density FROM {{o_loads}} GROUP BY corridor_id HAVING avg(load) < 0.45::DOUBLE) m ON m.corridor_id = s.corridor_id""",
+    LEFT JOIN (SELECT corridor_id, {clamp_sql('avg(load)')} AS density FROM {{o_loads}} GROUP BY corridor_id) m ON m.corridor_id = s.corridor_id""",
 )
 def edge_weights(c):
     snap = demand.segment_snapshot(c.segment_loads, F.lit(28800))
