@@ -62,6 +62,12 @@ def load(spark: SparkSession, schema, *paths: str) -> DataFrame:
     return spark.read.schema(schema).parquet(*paths)
 
 
+def release(spark: SparkSession, path: str) -> None:
+    """Removes a written step that no later plan reads."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Ends the lineage: ``df`` is written once and read back.
 
@@ -92,5 +98,14 @@ class StepStore:
         schema, path = self._steps[key]
         return load(spark, schema, path)
 
+    def release_others(self, spark: SparkSession) -> None:
+        """Removes all written steps of the session but those kept here; for callers that are done with every other result."""
+        folder = spark._jvm.org.apache.hadoop.fs.Path(step_folder(spark))
+        files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        kept = {path.rsplit("/", 1)[1] for _, path in self._steps.values()}
+        for step in files.listStatus(folder) if files.exists(folder) else []:
+            if step.getPath().getName() not in kept:
+                files.delete(step.getPath(), True)
+
 
 STEPS = StepStore()
