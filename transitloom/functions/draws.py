@@ -47,25 +47,30 @@ def poisson_cdf(lam: float) -> list[float]:
         term *= lam / k
 
 
-def _inverse(u: Column, cdf: list[float]) -> Column:
+def _steps(cdf: list[float]) -> Column:
+    return F.array(*[F.lit(p) for p in cdf])
+
+
+def _inverse(u: Column, steps: Column) -> Column:
     """Number of steps below ``u``: its place among the sorted steps.
 
     A lambda over the steps would evaluate ``u`` (a SHA-256) once per step; here it is evaluated
     once and merged into the sorted literal array.
     """
-    steps = F.array(*[F.lit(p) for p in cdf])
     return (F.array_position(F.sort_array(F.array_append(steps, u)), u) - 1).cast("int")
 
 
 def poisson_for_weight(weight: Column, *parts: Column) -> Column:
-    """Poisson(weight * scale) for a weight that is one of the band weights."""
-    u = uniform(*parts)
+    """Poisson(weight * scale) for a weight that is one of the band weights; null for any other.
+
+    The weight picks the steps, not the result, so that the draw stands in the plan once.
+    """
     picked = None
     for w in sorted({band[3] for band in C.TIME_BANDS}):
-        value = _inverse(u, poisson_cdf(w * C.POISSON_SCALE))
-        picked = F.when(weight == w, value) if picked is None else picked.when(weight == w, value)
-    return picked
+        steps = _steps(poisson_cdf(w * C.POISSON_SCALE))
+        picked = F.when(weight == w, steps) if picked is None else picked.when(weight == w, steps)
+    return _inverse(uniform(*parts), picked)
 
 
 def poisson(lam: float, *parts: Column) -> Column:
-    return _inverse(uniform(*parts), poisson_cdf(lam))
+    return _inverse(uniform(*parts), _steps(poisson_cdf(lam)))
