@@ -62,12 +62,6 @@ def load(spark: SparkSession, schema, *paths: str) -> DataFrame:
     return spark.read.schema(schema).parquet(*paths)
 
 
-def release(spark: SparkSession, path: str) -> None:
-    """Removes a written step that no later plan reads."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Ends the lineage: ``df`` is written once and read back.
 
