@@ -79,6 +79,31 @@ def test_keep_one(docs, unique_docs, empty):
     assert ngram_join.components_report(empty).count() == 0
 
 
+@pytest.fixture(scope="module")
+def two_texts(spark):
+    """Ids that stand on several texts: (id, text)."""
+    rng = random.Random(3)
+    a, b, c = (prose(rng, 150) for _ in range(3))
+    return [(1, a), (5, a), (5, b), (9, b), (9, b + " more"), (7, c), (7, a + " tail")]
+
+
+def test_ids_on_several_texts(spark, two_texts):
+    for kind, name in ((int, "long"), (str, "string")):
+        df = spark.createDataFrame([(kind(i), t) for i, t in two_texts], f"doc_id {name}, text string").repartition(3)
+        a, b, c = two_texts[0][1], two_texts[2][1], two_texts[5][1]
+        assert sorted((int(r.doc_id), r.text) for r in exact_dedup.drop_exact_duplicates(df).collect()) == sorted([(5, a), (9, b), (9, b + " more"), (7, c), (7, a + " tail")])
+        got = sorted((int(r.id), int(r.component_id)) for r in ngram_join.jaccard_classes(df, 5, 4, 5).collect())
+        assert got == [(1, 1), (5, 1), (5, 5), (7, 1), (7, 7), (9, 5), (9, 5)]
+        kept = sorted((int(r.doc_id), r.text) for r in ngram_join.keep_one_per_component(df).collect())
+        assert kept == sorted([(1, a), (5, b), (7, c)])
+        for hot in (substring_dedup.HOT, 10):
+            found = substring_dedup.Repeats(df.withColumnRenamed("doc_id", "id"), hot=hot)
+            lost = {(int(r.id), r.words): r.removed for r in found.stripped().collect()}
+            assert lost == {(5, 150): 150, (7, 151): 150, (9, 150): 150, (9, 151): 150}
+        left = sorted((int(r.doc_id), r.text) for r in substring_dedup.remove_repeated_passages(df).collect())
+        assert left == sorted([(1, a), (5, ""), (5, b), (9, ""), (9, "more"), (7, c), (7, "tail")])
+
+
 def test_components_of_a_chain(spark):
     nodes = spark.createDataFrame([(i,) for i in range(50)], "node long")
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(45, 44)], "a long, b long")

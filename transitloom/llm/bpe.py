@@ -24,6 +24,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, functions as F
 
 from transitloom.llm.text import groups, raw_texts, span_hashes, tidy, whole_texts
+from transitloom.session import cut
 
 BLOCK = 1 << 20
 LEXICON_WORDS = 1 << 16
@@ -317,7 +318,7 @@ class Transducer:
 
 
 class Encoder:
-    """Encodes Arrow columns of texts; lives in one task."""
+    """Encodes Arrow columns of texts; lives in one worker process, where later tasks find it again (``encoder``)."""
 
     def __init__(self, bpe: Bpe, transducer: Transducer | None = None) -> None:
         self.bpe, self.transducer = bpe, transducer
@@ -401,10 +402,10 @@ def load_source(df: DataFrame, tokenizer: str):
 
 def _count_words(source):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(Bpe(source.value))
+        tool = encoder(source)
         for batch in batches:
             for texts in text_blocks(batch.column(0)):
-                buf, starts, ends, _, fixed = encoder.words(texts)
+                buf, starts, ends, _, fixed = tool.words(texts)
                 short = (ends - starts <= LEXICON_BYTES) & (fixed < 0)
                 starts, ends = starts[short], ends[short]
                 if len(starts):
@@ -417,9 +418,23 @@ def _count_words(source):
 
 
 def frequent_words(docs: DataFrame, source, size: int = LEXICON_WORDS) -> list[bytes]:
-    """The ``size`` most frequent words of all texts; at most size * LEXICON_BYTES bytes reach the driver."""
+    """About the ``size`` most frequent words of all texts.
+
+    Counts of words per level of frequency (a few hundred) tell where to cut, so only the words wanted leave their tasks: at most
+    ``size`` from whole levels, and from the level that does not fit a share by hash, ``size`` in all but for its chance deviation.
+    """
     counted = docs.select("text").mapInArrow(_count_words(source), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return sorted(bytes(r["word"]) for r in counted.where("n > 1").orderBy(F.desc("n"), "word").limit(size).collect())
+    counted = cut(counted.where("n > 1").withColumn("level", F.floor(F.log2("n") * 8).cast("int")))
+    levels = {r["level"]: r["c"] for r in counted.groupBy("level").agg(F.count(F.lit(1)).alias("c")).collect()}
+    room, whole, share = size, [], F.lit(False)
+    for level in sorted(levels, reverse=True):
+        if levels[level] > room:
+            place = F.pmod(F.xxhash64("word"), F.lit(1 << 30))
+            share = (F.col("level") == level) & (place < int((1 << 30) * room / levels[level]))
+            break
+        room -= levels[level]
+        whole.append(level)
+    return sorted(bytes(r["word"]) for r in counted.where(F.col("level").isin(whole) | share).select("word").collect())
 
 
 def compile_lexicon(docs: DataFrame, source, size: int = LEXICON_WORDS) -> str:
@@ -432,8 +447,16 @@ def compile_lexicon(docs: DataFrame, source, size: int = LEXICON_WORDS) -> str:
     return os.path.basename(path)
 
 
-def encoder(source, lexicon: str | None) -> Encoder:
-    return Encoder(Bpe(source.value), Transducer(SparkFiles.get(lexicon)) if lexicon else None)
+_ENCODERS: dict[tuple, Encoder] = {}  # of this worker process
+
+
+def encoder(source, lexicon: str | None = None) -> Encoder:
+    """The worker's encoder for a tokenizer and a lexicon; built once a process, so tasks share its tables and the words seen."""
+    key = (hashlib.sha256(source.value.encode()).digest(), lexicon)
+    if key not in _ENCODERS:
+        _ENCODERS.clear()  # one at a time: memory stays as that of a single task
+        _ENCODERS[key] = Encoder(Bpe(source.value), Transducer(SparkFiles.get(lexicon)) if lexicon else None)
+    return _ENCODERS[key]
 
 
 def _encode(source, lexicon):
@@ -454,9 +477,9 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     return narrow.mapInArrow(_encode(source, lexicon), f"id {narrow.schema['id'].dataType.simpleString()}, ids array<int>")
 
 
-def _decode(source):
+def _decode(source, lexicon=None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = Bpe(source.value)
+        bpe = encoder(source, lexicon).bpe
         for batch in batches:
             at, column = 0, batch.column(1)
             texts = []
@@ -496,9 +519,9 @@ def _chain(*steps):
     return tidy(run)
 
 
-def _both(source):
+def _both(source, lexicon):
     """Keeps the ids next to the decoded text, batch by batch."""
-    step = _decode(source)
+    step = _decode(source, lexicon)
 
     def run(batches):
         for batch in batches:
@@ -516,4 +539,4 @@ def roundtrip_report(docs: DataFrame, tokenizer: str) -> DataFrame:
     source = load_source(docs, tokenizer)
     lexicon = compile_lexicon(narrow, source)
     kind = narrow.schema["id"].dataType.simpleString()
-    return narrow.mapInArrow(_chain(_encode(source, lexicon), _both(source), _digest), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return narrow.mapInArrow(_chain(_encode(source, lexicon), _both(source, lexicon), _digest), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

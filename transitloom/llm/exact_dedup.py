@@ -43,12 +43,13 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _marked(bits, cells: int, at: int, names: list[str]):
-    """Rows as they are, with the hash of their text and whether it may stand twice."""
+    """Rows as they are, with the digest of their text where it may stand twice, else null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes = np.fromiter((_hash(_digest(t)) for _, texts in groups(batch.column(at), BLOCK, 256) for t in texts), np.int64, count=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hashes), pa.array(hit(bits.value, hashes, cells))], names=names)
+            digests = [_digest(t) for _, texts in groups(batch.column(at), BLOCK, 256) for t in texts]
+            maybe = hit(bits.value, np.array([_hash(d) for d in digests], dtype=np.int64), cells).tolist()
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([d if m else None for d, m in zip(digests, maybe)], pa.binary())], names=names)
 
     return tidy(run)
 
@@ -78,16 +79,16 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     decisions, repeats = exact_duplicates(docs, id_col, text_col)
     names = [f"c{i}" for i in range(len(docs.columns))]  # whatever the columns are called
     flat = docs.toDF(*names)
-    marked = flat.mapInArrow(_marked(repeats.bits, repeats.cells, docs.columns.index(text_col), [*names, "_hash", "_maybe"]), StructType([*flat.schema.fields]).add("_hash", "long").add("_maybe", "boolean"))
+    marked = flat.mapInArrow(_marked(repeats.bits, repeats.cells, docs.columns.index(text_col), [*names, "_digest"]), StructType([*flat.schema.fields]).add("_digest", "binary"))
     back = F.struct(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
-    rows = marked.select(back.alias("row"), F.col(names[docs.columns.index(id_col)]).alias("_id"), "_hash", "_maybe")
-    winners = decisions.where("kept AND group_size > 1").select(F.col("id").alias("_k"))
-    groups = decisions.where("group_size > 1").select(F.col("id").alias("_k")).distinct()
-    maybe = rows.where("_maybe")
-    false_alarms = maybe.join(groups, F.col("_id").eqNullSafe(F.col("_k")), "left_anti")
-    kept = maybe.join(winners, F.col("_id").eqNullSafe(F.col("_k")), "left_semi")
-    first = kept.withColumn("_turn", F.row_number().over(Window.partitionBy("_id", "_hash").orderBy("_hash"))).where("_turn = 1")
-    return rows.where(~F.col("_maybe")).select("row.*").union(false_alarms.select("row.*")).union(first.select("row.*"))
+    rows = marked.select(back.alias("row"), F.col(names[docs.columns.index(id_col)]).alias("_id"), "_digest")
+    # By id and digest: an id may stand on several texts, of which one stays and another goes.
+    decided = decisions.where("group_size > 1").groupBy(F.col("id").alias("_k"), F.col("digest").alias("_d")).agg(F.max("kept").alias("_kept"))
+    same = F.col("_id").eqNullSafe(F.col("_k")) & (F.col("_digest") == F.col("_d"))
+    met = rows.where("_digest IS NOT NULL").join(decided, same, "left").where("_kept IS NULL OR _kept")
+    turn = F.row_number().over(Window.partitionBy("_id", "_digest").orderBy("_kept"))
+    once = met.withColumn("_turn", turn).where("_kept IS NULL OR _turn = 1")
+    return rows.where("_digest IS NULL").select("row.*").union(once.select("row.*"))
 
 
 def dedup_report(docs: DataFrame) -> DataFrame:

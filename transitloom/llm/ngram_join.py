@@ -12,8 +12,8 @@ Only links between different sets matter, and only until their components are kn
    other components (exactly, without a cap).
 
 Defined cases: null, empty and blank texts have no shingles and no links; fewer words than the width make one shingle; equal
-sets are one class whatever their number; repeated ids count once per row in the result and once in links; an empty table
-gives an empty result.
+sets are one class whatever their number; repeated ids count once per row in the result and once in links, each of their
+texts for itself where they differ; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from transitloom.llm.bloom import Bloom
 from transitloom.llm.groups import components, with_totals
@@ -166,14 +166,37 @@ def verify(pairs: DataFrame, count: int, docs: DataFrame, width: int, num: int,
     return both.select("a", "b", "ta", "tb").mapInArrow(_overlaps(width, num, den), f"a {kind}, b {kind}")
 
 
-def jaccard_classes(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: id, n_shingles, class_id (smallest id with the same set), component_id."""
-    spark = docs.sparkSession
+def _key(row_id: Column, text: Column) -> Column:
+    """An id together with its text, for tables where an id stands on several texts; orders by id first."""
+    return F.when(row_id.isNotNull(), F.struct(row_id.alias("id"), F.xxhash64(text).alias("text")))
+
+
+def _classes(docs: DataFrame, width: int, num: int, den: int, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
+    """(id, n_shingles, class_id, component_id per row, whether the three ids are keys of id and text)."""
     narrow = whole_texts(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     levels = shingle_levels(narrow, "text", width)
+    sets = _sets(narrow, width, num, den, levels)
+    several = sets.where("id IS NOT NULL").groupBy("id").agg((F.min("d1") < F.max("d1")).alias("d1"), (F.min("d2") < F.max("d2")).alias("d2"))
+    nested = bool(several.where("d1 OR d2").take(1))
+    if nested:
+        narrow = narrow.withColumn("id", _key(F.col("id"), F.col("text")))
+        sets = _sets(narrow, width, num, den, levels)
+    return _linked(narrow, sets, width, num, den), nested
+
+
+def _sets(narrow: DataFrame, width: int, num: int, den: int, levels) -> DataFrame:
     kind = narrow.schema["id"].dataType.simpleString()
-    sets = cut(narrow.mapInArrow(_prefixes(width, num, den, levels), f"id {kind}, n long, d1 long, d2 long, head long, prefix array<long>, spread binary"))
+    return cut(narrow.mapInArrow(_prefixes(width, num, den, levels), f"id {kind}, n long, d1 long, d2 long, head long, prefix array<long>, spread binary"))
+
+
+def jaccard_classes(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: id, n_shingles, class_id (smallest id with the same set), component_id."""
+    found, nested = _classes(docs, width, num, den, id_col, text_col)
+    return found.select(*[F.col(f"{c}.id" if nested and c != "n_shingles" else c).alias(c) for c in found.columns])
+
 
+def _linked(narrow: DataFrame, sets: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    spark = narrow.sparkSession
     full = sets.where("n > 0 AND id IS NOT NULL")
     members = cut(with_totals(full.select("id", "n", "d1", "d2"), ["n", "d1", "d2"], F.col("id"), {"_m": F.min("id")}, {"class_id": F.min("_m")}).select("id", "n", "class_id"))
     firsts = members.where("id = class_id").select("class_id").distinct()
@@ -251,6 +274,7 @@ def components_report(docs: DataFrame) -> DataFrame:
 
 def keep_one_per_component(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row (the smallest id) of each group of near copies; rows without id stay."""
-    found = jaccard_classes(docs, width, num, den, id_col, text_col)
+    found, nested = _classes(docs, width, num, den, id_col, text_col)
     gone = found.where("id <> component_id").select(F.col("id").alias("_gone")).distinct()
-    return docs.select(F.struct("*").alias("row"), F.col(id_col).alias("_id")).join(gone, F.col("_id") == F.col("_gone"), "left_anti").select("row.*")
+    own = _key(F.col(id_col), F.col(text_col)) if nested else F.col(id_col)
+    return docs.select(F.struct("*").alias("row"), own.alias("_id")).join(gone, F.col("_id") == F.col("_gone"), "left_anti").select("row.*")

@@ -33,7 +33,7 @@ END_ID = 0
 
 def _pieces(source, capacity: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = bpe.Encoder(bpe.Bpe(source.value))
+        tool = bpe.encoder(source)
         for batch in batches:
             rows, docs = [], []
             for i, ids in enumerate(tool.column(batch.column(2))):

@@ -11,7 +11,7 @@ equal windows have equal minimisers wherever they stand. Consecutive windows wit
    windows are grouped by 128-bit digest across all tasks, combined before the shuffle.
 
 Defined cases: null, empty and short texts have no windows and keep all words; texts without id keep all words and remove
-none; windows that repeat only under one id stay; kept words are joined by one space; an empty table gives an empty result.
+none; windows that repeat only under one id stay; repeated ids, also with different texts, are judged text by text; kept words are joined by one space; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from transitloom.llm.bloom import Bloom, hit
 from transitloom.llm.groups import with_totals
@@ -80,7 +80,7 @@ def _key(packed: bytes) -> bytes:
 
 
 def _pack(window: int, mer: int, bits, cells: int, kind: pa.DataType):
-    """One row per text (words, sha), one per packed run (key, start), one per distinct string of the batch (packed)."""
+    """One row per text (words, sha), one per packed run (sha, key, start), one per distinct string of the batch (packed)."""
     names = ["id", "words", "sha", "key", "start", "hash", "packed"]
     types = [kind, pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.binary()]
 
@@ -90,14 +90,15 @@ def _pack(window: int, mer: int, bits, cells: int, kind: pa.DataType):
             docs, places, strings = [], [], {}
             for i, runs in _text_runs(batch.column(1), window, mer):
                 words = texts[i].split()  # the same white space as in ``text``
-                docs.append((ids[i], len(words), hashlib.sha256(b" ".join(words)).hexdigest(), None, None, None, None))
+                sha = hashlib.sha256(b" ".join(words)).hexdigest()
+                docs.append((ids[i], len(words), sha, None, None, None, None))
                 if runs is None or ids[i] is None:
                     continue
                 first, count, least = runs
                 for j in np.flatnonzero(hit(bits.value, least, cells)):
                     packed = b" ".join(words[first[j] : first[j] + count[j] + window - 1])
                     key = _key(packed)
-                    places.append((ids[i], None, None, key, int(first[j]), None, None))
+                    places.append((ids[i], None, sha, key, int(first[j]), None, None))
                     seen = strings.get(key)
                     if seen is None or ids[i] < seen[0]:
                         strings[key] = (ids[i], None, None, key, None, int(as_long(least[j : j + 1])[0]), packed)
@@ -116,10 +117,10 @@ def _windows(packed: bytes, window: int) -> Iterator[bytes]:
         yield packed[starts[i] : ends[i + window - 1]]
 
 
-def _sorted_bucket(window: int):
-    """Rows come sorted by minimiser; for each string the runs of windows with one smallest id."""
+def _sorted_bucket(window: int, kind: pa.DataType):
+    """Rows come sorted by minimiser; for each string the runs of windows with one smallest id (of type ``kind``)."""
 
-    def flush(group: list[tuple[bytes, int]]) -> Iterator[tuple[bytes, int, int, int]]:
+    def flush(group: list[tuple]) -> Iterator[tuple]:
         entries = sorted((w, first, k, i) for k, (packed, first) in enumerate(group) for i, w in enumerate(_windows(packed, window)))
         found: list[list[int]] = [[] for _ in group]
         smallest, before = None, None
@@ -129,14 +130,14 @@ def _sorted_bucket(window: int):
             found[k].append((i, smallest))
         for (packed, _), own in zip(group, found):
             own.sort()
-            firsts = np.array([f for _, f in own])
-            at = np.flatnonzero(np.append(True, firsts[1:] != firsts[:-1]))
+            firsts = [f for _, f in own]
+            at = [0, *(i for i in range(1, len(firsts)) if firsts[i] != firsts[i - 1])]
             key = _key(packed)
-            yield from ((key, int(a), int(n), int(firsts[a])) for a, n in zip(at, np.diff(np.append(at, len(firsts)))))
+            yield from ((key, a, b - a, firsts[a]) for a, b in zip(at, [*at[1:], len(firsts)]))
 
     def out(rows):
         key, at, n, first = zip(*rows)
-        return pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), pa.array(at, pa.int64()), pa.array(n, pa.int64()), pa.array(first, pa.int64())], names=["key", "at", "n", "first"])
+        return pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), pa.array(at, pa.int64()), pa.array(n, pa.int64()), pa.array(first, kind)], names=["key", "at", "n", "first"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, group, rows = None, [], []
@@ -158,7 +159,7 @@ def _sorted_bucket(window: int):
     return tidy(run)
 
 
-def _digests(window: int):
+def _digests(window: int, kind: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
@@ -167,7 +168,7 @@ def _digests(window: int):
                 rows.extend((_key(w), key, i, first) for i, w in enumerate(_windows(packed, window)))
             for a in range(0, len(rows), 50000):
                 digest, key, at, first = zip(*rows[a : a + 50000])
-                yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array(key, pa.binary()), pa.array(at, pa.int64()), pa.array(first, pa.int64())], names=["digest", "key", "at", "first"])
+                yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array(key, pa.binary()), pa.array(at, pa.int64()), pa.array(first, kind)], names=["digest", "key", "at", "first"])
 
     return tidy(run)
 
@@ -193,8 +194,16 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _sha(text: Column) -> Column:
+    """Digest of the words, joined by one space."""
+    return F.sha2(F.array_join(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != ""), " "), 256)
+
+
 class Repeats:
-    """``texts``: id, words, sha of every row. ``spans``: id, spans (array of start, length) of texts that lose words."""
+    """``texts``: id, words, sha (of the words) of every row. ``spans``: id, sha, spans (array of start, length) of texts that lose words.
+
+    An id may stand on several texts: places and spans go by id and sha.
+    """
 
     def __init__(self, docs: DataFrame, window: int = WINDOW, mer: int = MER, hot: int = HOT) -> None:
         from pyspark.sql.pandas.types import to_arrow_type
@@ -218,18 +227,19 @@ class Repeats:
 
         strings = step.where("packed IS NOT NULL").groupBy("hash", "packed").agg(F.min("id").alias("first"))
         crowded = shared.where(F.col("windows") > hot).select("hash")
-        strings = cut(strings.join(crowded.withColumn("crowded", F.lit(True)), "hash", "left").select("hash", "packed", F.col("first").cast("long").alias("first"), F.coalesce("crowded", F.lit(False)).alias("crowded")))
-        runs_schema = "key binary, at long, n long, first long"
-        cold = strings.where("NOT crowded").select("hash", "packed", "first").repartition("hash").sortWithinPartitions("hash").mapInArrow(_sorted_bucket(window), runs_schema)
-        exploded = strings.where("crowded").select("packed", "first").mapInArrow(_digests(window), "digest binary, key binary, at long, first long")
+        strings = cut(strings.join(crowded.withColumn("crowded", F.lit(True)), "hash", "left").select("hash", "packed", "first", F.coalesce("crowded", F.lit(False)).alias("crowded")))
+        runs_schema = f"key binary, at long, n long, first {name}"
+        arrow = to_arrow_type(kind)
+        cold = strings.where("NOT crowded").select("hash", "packed", "first").repartition("hash").sortWithinPartitions("hash").mapInArrow(_sorted_bucket(window, arrow), runs_schema)
+        exploded = strings.where("crowded").select("packed", "first").mapInArrow(_digests(window, arrow), f"digest binary, key binary, at long, first {name}")
         warm = with_totals(exploded, ["digest"], F.xxhash64("key", "at"), {"_m": F.min("first")}, {"smallest": F.min("_m")})
         # Neighbouring windows with one smallest id become one run again, so that a place meets few rows.
         turn = F.row_number().over(Window.partitionBy("key", "smallest").orderBy("at"))
         warm = warm.select("key", "smallest", "at", (F.col("at") - turn).alias("_g")).groupBy("key", "smallest", "_g").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("n"))
         runs = cold.union(warm.select("key", "at", "n", F.col("smallest").alias("first")))
-        places = step.where("start IS NOT NULL").select("id", "key", "start")
-        cuts = places.join(runs, "key").where("first < id").select("id", (F.col("start") + F.col("at")).alias("start"), (F.col("n") + (window - 1)).alias("length"))
-        spans = cuts.groupBy("id").agg(F.collect_set(F.struct("start", "length")).alias("spans"))
+        places = step.where("start IS NOT NULL").select("id", "sha", "key", "start")
+        cuts = places.join(runs, "key").where("first < id").select("id", "sha", (F.col("start") + F.col("at")).alias("start"), (F.col("n") + (window - 1)).alias("length"))
+        spans = cuts.groupBy("id", "sha").agg(F.collect_set(F.struct("start", "length")).alias("spans"))
         path, self.count = store_counted(spans)
         self.spans = load(spark, spans.schema, path)
 
@@ -238,7 +248,7 @@ class Repeats:
         ids = Bloom(self.spans.select(F.xxhash64("id")), self.count)
         texts = self.docs.where("id IS NOT NULL").where(ids.test(F.xxhash64("id")))
         kind = self.docs.schema["id"].dataType.simpleString()
-        rows = texts.join(self.spans, "id").select("id", "text", "spans")
+        rows = texts.withColumn("sha", _sha(F.col("text"))).join(self.spans, ["id", "sha"]).select("id", "text", "spans")
         return rows.mapInArrow(_strip, f"id {kind}, words long, removed long, sha string, kept_sha string, kept string")
 
 
@@ -257,8 +267,7 @@ def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col:
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("_i"))
     rows = rows.withColumn("_maybe", F.col("_i").isNotNull() & lost.test(F.coalesce(F.xxhash64("_i"), F.lit(0).cast("long"))))
     # Several rows may share an id; each meets its own text by the digest of its words.
-    words = F.sha2(F.array_join(F.filter(F.split(F.col(f"row.{text_col}"), r"[\x20\x09-\x0D]+"), lambda w: w != ""), " "), 256)
-    touched = rows.where("_maybe").withColumn("_sha", words).join(changed, (F.col("_i") == F.col("_id")) & (F.col("_sha") == F.col("sha")), "left")
+    touched = rows.where("_maybe").withColumn("_sha", _sha(F.col(f"row.{text_col}"))).join(changed, (F.col("_i") == F.col("_id")) & (F.col("_sha") == F.col("sha")), "left")
     fields = []
     for c in docs.columns:
         old = F.col("row").getField(c)

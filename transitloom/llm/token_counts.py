@@ -31,7 +31,7 @@ _SCHEMA = "source string, lang string, version string, documents long, tokens lo
 
 def _counts(source, bpe_version: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = bpe.Encoder(bpe.Bpe(source.value))
+        tool = bpe.encoder(source)
         for batch in batches:
             texts = batch.column(3)
             words = np.concatenate([np.diff(b.words) for b in blocks(texts)]) if batch.num_rows else np.zeros(0, np.int64)
