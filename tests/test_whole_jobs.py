@@ -1,9 +1,13 @@
 """Registered queries take all requests, lines and replications."""
 
+import hashlib
 from types import SimpleNamespace
 
+from pyspark.sql import functions as F
+
 import __spark_entry__  # noqa: F401  registers the queries in their order
 from transitloom import constants as C
+from transitloom.operators import demand, resample
 from transitloom.plans import network_queries, resample_queries, route_queries
 
 
@@ -37,3 +41,24 @@ def test_trips_without_ridership_stay_at_the_fallback(spark):
 def test_replicated_queries_run_all_replications(ctx):
     assert {r.replication for r in resample_queries.mc_trips(ctx).select("replication").distinct().collect()} == set(range(100))
     assert route_queries.REPLICATIONS == 100
+
+
+def test_a_date_is_drawn_per_replication(spark):
+    days = [("A", f"2024-01-{d:02d}", float(d)) for d in range(1, 32)] + [("B", "2024-02-01", 7.0)]
+    riders = spark.createDataFrame(days, "corridor_id string, date string, riders double").withColumn("date", F.to_date("date"))
+    lines = spark.createDataFrame([("A",), ("A",), ("B",), ("C",)], "corridor_id string")
+    rows = demand.replicated_ridership(riders, lines, resample.replication_seed("m", F.col("replication")), 50).collect()
+    assert len(rows) == 3 * 50
+    for r in rows:
+        seed = int(hashlib.sha256(f"m|{r.replication}".encode()).hexdigest()[:13], 16)
+        if r.corridor_id == "A":
+            place = int(hashlib.sha256(f"ridership_sample_30|{seed}|A".encode()).hexdigest()[:16], 16) % 30
+            assert (r.used_date.day, r.riders) == (31 - place, 31.0 - place)
+        else:
+            assert r.riders == (7.0 if r.corridor_id == "B" else None)
+    trips = spark.createDataFrame([(f"{k}{i}", k, 28800 + 600 * i) for k in "ABC" for i in range(4)], "instance_id string, corridor_id string, departure int")
+    resolved = demand.replicated_ridership(riders, lines, resample.replication_seed("m", F.col("replication")), 50)
+    loads = resample.replicated_trip_loads(trips, resolved, "m", 50).groupBy("replication", "corridor_id").agg(F.round(F.sum("passengers"), 6).alias("p"), F.count("*").alias("n"))
+    want = {(r.replication, r.corridor_id): r.riders for r in rows}
+    for r in loads.collect():
+        assert r.n == 4 and r.p == (160.0 if r.corridor_id == "C" else want[r.replication, r.corridor_id])

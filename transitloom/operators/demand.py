@@ -73,6 +73,23 @@ def resolve_ridership(riders: DataFrame, corridors: DataFrame, date: str | None,
     return corridors.select("corridor_id").distinct().join(found, "corridor_id", "left").withColumnRenamed("date", "used_date")
 
 
+def replicated_ridership(riders: DataFrame, corridors: DataFrame, seed: Column, count: int, keep: int = C.RIDERSHIP_SAMPLE) -> DataFrame:
+    """Riders and the date drawn for each (replication, corridor) where no date is given.
+
+    ``seed`` is an expression over ``replication``; it takes the place of the run in the date draw. The choice is made inside one
+    array of at most ``keep`` dates per corridor, so ridership is read once, whatever ``count``. Corridors without ridership keep nulls.
+    """
+    days = riders.join(recent_dates(riders, keep), ["corridor_id", "date"]).groupBy("corridor_id", "rank").agg(
+        F.max("date").alias("date"), F.max("riders").alias("riders")
+    )
+    days = days.groupBy("corridor_id").agg(F.array_sort(F.collect_list(F.struct("rank", "date", "riders"))).alias("days"))
+    rows = corridors.select("corridor_id").distinct().join(days, "corridor_id", "left")
+    rows = rows.withColumn("replication", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
+    place = pick(F.size("days"), F.lit("ridership_sample_30"), seed, F.col("corridor_id"))
+    chosen = F.when(F.col("days").isNotNull(), F.get("days", place.cast("int")))
+    return rows.withColumn("_day", chosen).select("replication", "corridor_id", F.col("_day.date").alias("used_date"), F.col("_day.riders").alias("riders"))
+
+
 def trip_supply(instances: DataFrame) -> DataFrame:
     return instances.groupBy("corridor_id").agg(F.count(F.lit(1)).alias("supply"))
 

@@ -9,7 +9,7 @@ from transitloom.functions.draws import clamped_normal, poisson, stable_hash, un
 from transitloom.functions.scalar import anchored_clock
 from transitloom.operators import choice, demand, lookup, resample, scenario
 from transitloom.plans.base import (
-    RUN_ID, SERVICE_DATE, STEPS_SQL, band_sql, cdf_sql, clamp_sql, hash_sql, normal_sql, poisson_sql, r, register, uniform_sql,
+    RUN_ID, SERVICE_DATE, STEPS_SQL, band_sql, cdf_sql, clamp_sql, hash_sql, normal_sql, pick_sql, poisson_sql, r, register, uniform_sql,
 )
 
 MASTER = "12345"
@@ -98,6 +98,43 @@ def mc_trip_loads(c):
     )
 
 
+def replication_dates(c):
+    return demand.replicated_ridership(c.t.riders, c.t.members, resample.replication_seed(MASTER, F.col("replication")), RUNS)
+
+
+STEPS_SQL["o_mcdates"] = f"""
+    WITH ranked AS (SELECT corridor_id, date, riders, row_number() OVER (PARTITION BY corridor_id ORDER BY date DESC) - 1 AS rk FROM {{riders}}),
+    n AS (SELECT corridor_id, least(30, count(*)) AS n FROM ranked GROUP BY corridor_id),
+    picked AS (SELECT rep.replication, n.corridor_id, {pick_sql('n.n', "'ridership_sample_30'", hash_sql(f"'{MASTER}'", 'rep.replication'), 'n.corridor_id')} AS rk
+               FROM n, (SELECT unnest(range(0, {RUNS})) AS replication) rep)
+    SELECT m.replication, m.corridor_id, k.date AS used_date, k.riders
+    FROM (SELECT DISTINCT corridor_id, replication FROM {{members}}, (SELECT unnest(range(0, {RUNS})) AS replication) rep) m
+    LEFT JOIN picked p ON p.corridor_id = m.corridor_id AND p.replication = m.replication LEFT JOIN ranked k ON k.corridor_id = p.corridor_id AND k.rk = p.rk"""
+
+
+@register("mc_ridership_dates", "SELECT replication, corridor_id, strftime(used_date, '%Y-%m-%d') AS used_date, round(riders, 6) AS riders FROM {o_mcdates}")
+def mc_ridership_dates(c):
+    return replication_dates(c).select("replication", "corridor_id", F.date_format("used_date", "yyyy-MM-dd").alias("used_date"), r("riders").alias("riders"))
+
+
+@register(
+    "mc_trip_loads_sampled",
+    f"""
+    SELECT replication, instance_id, CAST(draw AS INT) AS draw, {exact_sql('80 * num', 'den', 4, 'passengers')} AS passengers, {exact_sql('num', 'den', 6, 'load')} AS load FROM (
+      SELECT *, load * 80 AS passengers FROM (
+        SELECT t.replication, t.instance_id, t.draw, CASE WHEN d.riders IS NULL THEN 0.5::DOUBLE WHEN sw > 0 THEN d.riders * (draw::DOUBLE / sw) / 80 ELSE d.riders * (bw / sbw) / 80 END AS load,
+               CASE WHEN d.riders IS NULL THEN 1 WHEN sw > 0 THEN CAST(round(d.riders * 100) AS HUGEINT) * draw END AS num, CASE WHEN d.riders IS NULL THEN 2 WHEN sw > 0 THEN 8000 * sw END AS den
+        FROM {{o_mctrips}} t LEFT JOIN {{o_mcdates}} d ON d.corridor_id = t.corridor_id AND d.replication = t.replication) x) y""",
+)
+def mc_trip_loads_sampled(c):
+    """As ``mc_trip_loads`` where no date is given: every replication draws its own date."""
+    rows = resample.replicated_trip_loads(c.instances, replication_dates(c), MASTER, RUNS)
+    num, den = trip_fraction(F.col("riders"), F.col("draw"), F.col("draw_sum"))
+    return rows.select(
+        "replication", "instance_id", "draw", exact(F.lit(80).cast("decimal(2,0)") * num, den, 4, F.col("passengers")).alias("passengers"), exact(num, den, 6, F.col("load")).alias("load")
+    )
+
+
 @register(
     "mc_segment_loads",
     f"SELECT replication, instance_id, pos, segment_id, draw, {exact_sql('snum', 'sden', 6, 'segment_load')} AS segment_load, dep <= 28800 AND 28800 < next_arr AS active FROM {{o_mcseg}}",

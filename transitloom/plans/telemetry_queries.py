@@ -335,7 +335,8 @@ def count_metrics(c):
     return telemetry.count_metrics(counts, c.t.truth).drop("accuracy_bounded").withColumn("accuracy", r("accuracy"))
 
 
-CONFS, SIZES = [0.15, 0.25, 0.40], [416, 640]
+# Thresholds and input sizes of the whole sweep.
+CONFS, SIZES = [0.10, 0.15, 0.20, 0.25, 0.30, 0.40, 0.50], [320, 416, 512, 640]
 GRID_SQL = ", ".join(f"({t}::DOUBLE, {s})" for t in CONFS for s in SIZES)
 
 
@@ -478,6 +479,34 @@ def gtfs_csv_roundtrip(c):
     return back.join(c.t.feed_trips.select("trip_id", "route_id"), "trip_id").join(summary, "route_id")
 
 
+@register(
+    "media_scan",
+    """
+    WITH d AS (SELECT coalesce(lang, 'none') AS lang, CASE doc_id % 3 WHEN 0 THEN 'jpg' WHEN 1 THEN 'PNG' ELSE 'txt' END AS extension, strlen(coalesce(text, '')) AS n FROM {documents})
+    SELECT m.lang, extension, bytes, labels FROM (SELECT lang, extension, CAST(sum(2 * n + 2) AS BIGINT) AS bytes FROM d WHERE extension <> 'txt' GROUP BY ALL) m
+    JOIN (SELECT lang, count(*) AS labels FROM d WHERE extension = 'txt' GROUP BY lang) l ON l.lang = m.lang
+    UNION ALL
+    SELECT lang, extension, CAST(sum(2 * n + 2) AS BIGINT), 0 FROM d WHERE extension <> 'txt' AND lang NOT IN (SELECT lang FROM d WHERE extension = 'txt') GROUP BY ALL""",
+)
+def media_scan(c):
+    """Bytes of the media files per folder and extension, and the lines of the label files beside them.
+
+    The folders are written from ``documents``: per language the texts of a third each as ``jpg``, ``PNG`` and label lines (``txt``).
+    """
+    import uuid
+
+    base = f"{step_folder(c.spark)}/media-{uuid.uuid4().hex}"
+    line = F.concat(F.lit("x"), F.hex(F.coalesce("text", F.lit(""))))
+    for part, extension in enumerate(("jpg", "PNG", "txt")):
+        rows = c.t.documents.filter(F.col("doc_id") % 3 == part).select(F.coalesce("lang", F.lit("none")).alias("lang"), line.alias("line"))
+        rows.write.partitionBy("lang").option("extension", extension).mode("append").csv(base)
+    folder, extension = F.regexp_extract("path", r"lang=([^/]+)/", 1), F.regexp_extract("path", r"\.([A-Za-z]+)$", 1)
+    sizes = readers.media_files(c.spark, base).groupBy(folder.alias("lang"), extension.alias("extension")).agg(F.sum("length").alias("bytes"))
+    lines = c.spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").schema("line STRING").text(base).select(F.col("_metadata.file_path").alias("path"))
+    labels = lines.groupBy(folder.alias("lang")).agg(F.count(F.lit(1)).alias("labels"))
+    return sizes.join(labels, "lang", "left").select("lang", "extension", "bytes", F.coalesce("labels", F.lit(0)).alias("labels"))
+
+
 @register("latest_file")
 def latest_file(c):
     import uuid

@@ -25,9 +25,10 @@ def read_feed(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.option("header", True).option("enforceSchema", True).option("encoding", "UTF-8").schema(schema).csv(path)
 
 
-def media_files(spark: SparkSession, path: str, pattern: str = "*.{jpg,jpeg,png}") -> DataFrame:
-    """Paths, sizes and times of media files below ``path`` (contents are not read)."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path).select(
+def media_files(spark: SparkSession, path: str, extensions: tuple[str, ...] = ("jpg", "jpeg", "png")) -> DataFrame:
+    """Paths, sizes and times of media files below ``path``, by extension in any case (contents are not read)."""
+    any_case = ["".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in e) for e in extensions]
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.{" + ",".join(any_case) + "}").option("recursiveFileLookup", True).load(path).select(
         "path", "length", "modificationTime"
     )
 
