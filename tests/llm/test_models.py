@@ -2,10 +2,12 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm.conftest import prose
 from transitloom.llm import quality, toxicity
+from transitloom.llm.text import blocks
 
 
 @pytest.fixture(scope="module")
@@ -73,3 +75,11 @@ def test_expectation_maximisation_finds_accuracies():
     codes, at, counts = np.unique((cast * 3 ** np.arange(labellers)).sum(axis=1), return_inverse=True, return_counts=True)
     post, accuracy = quality.expectation_maximisation(codes, counts.astype(float))
     assert np.abs(accuracy - right).max() < 0.03 and ((post[at] > 0.5) == y).mean() > 0.97
+
+
+def test_few_words_over_and_over_are_bad_at_every_length():
+    rng = random.Random(2)
+    few, many = [f"w{i}" for i in range(40)], [f"w{i}" for i in range(900)]
+    texts = [" ".join(rng.choice(words) for _ in range(n)) for n in (900, 4900, 5100, 30000) for words in (few, many)]
+    got = np.concatenate([quality.votes(b) for b in blocks(pa.array(texts))])[:, 4].tolist()
+    assert got == [-1, 1] * 4

@@ -124,3 +124,13 @@ def test_rollup_batches_are_idempotent(spark, tmp_path):
     assert got[("s", token_counts.WORDS)] == (-1, -1) and got[("t", token_counts.WORDS)] == (1, 2)
     folded = kept.compact(str(tmp_path / "b"))
     assert {(r.source, r.version): (r.documents, r.tokens) for r in folded.totals().collect()} == got
+
+
+def test_rollup_batch_corrected_to_nothing(spark, tmp_path):
+    image = "struct<source:string,lang:string,text:string>"
+    schema = f"before {image}, after {image}"
+    kept = token_counts.Rollup(spark, str(tmp_path / "a"), PATH, "bpe")
+    kept.commit("one", spark.createDataFrame([(None, ("s", "en", "a b c"))], schema))
+    assert {r.version: r.documents for r in kept.totals().collect()} == {token_counts.WORDS: 1, "bpe": 1}
+    kept.commit("one", spark.createDataFrame([], schema))
+    assert kept.totals().count() == 0 and kept.batches().count() == 1

@@ -23,6 +23,7 @@ from transitloom.llm.text import Block, blocks, mix, tidy, whole_texts
 from transitloom.session import cut
 
 LABELLERS = ("upper case", "marks in words", "bare marks", "same word again", "few different words", "word length", "empty", "marks among letters", "marks at word ends", "upper case among letters")
+STRETCH = 1000  # words
 DIMS = 1 << 13
 SAMPLE = 6000
 KEEP = 0.3  # only what is clearly bad goes
@@ -62,11 +63,14 @@ def votes(block: Block) -> np.ndarray:
     vote(1, _sums((marks > 0) & (ascii_letters > 0), at) / n, lambda v: v > 0.15, lambda v: v < 0.03)
     vote(2, _sums((marks > 0) & (marks == size), at) / n, lambda v: v > 0.08, lambda v: v < 0.02)
     vote(3, _sums(again, at) / n, lambda v: v > 0.2, lambda v: v < 0.1)
-    order = np.lexsort((hashes, text))
+    # Different words per stretch, averaged over the whole text, so that the share does not fall with the length.
+    place = np.arange(len(starts)) - np.repeat(at[:-1], np.diff(at))
+    stretch = np.cumsum(place % STRETCH == 0)
+    order = np.lexsort((hashes, stretch))
     fresh = np.ones(len(starts), dtype=bool)
-    fresh[1:] = (hashes[order][1:] != hashes[order][:-1]) | (text[order][1:] != text[order][:-1])
+    fresh[1:] = (hashes[order][1:] != hashes[order][:-1]) | (stretch[order][1:] != stretch[order][:-1])
     different = np.bincount(text[order][fresh], minlength=block.n) / n
-    vote(4, different, lambda v: (v < 0.15) & (n < 5000), lambda v: v > 0.35)
+    vote(4, different, lambda v: v < 0.15, lambda v: v > 0.35)
     vote(5, _sums(size, at) / n, lambda v: (v > 14) | (v < 2), lambda v: (v > 3) & (v < 11))
     out[:, 5] = np.where(np.diff(at) == 0, 0, out[:, 5])
     empty = np.diff(at) == 0

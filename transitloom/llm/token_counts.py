@@ -7,7 +7,7 @@ once however often it is committed. Totals are the sums over all batches; ``comp
 
 Defined cases: null text counts as empty (0 tokens); null source or language is a group of its own; a revision that moves a row to
 another source takes it from the old one; groups whose documents and tokens are all taken back are left out of the totals; repeated
-rows count once per row; an empty batch changes nothing.
+rows count once per row; an empty batch adds nothing, and delivered again in place of a full one it takes that one's sums back.
 """
 
 from __future__ import annotations
@@ -58,7 +58,9 @@ class Rollup:
 
     def commit(self, batch: str, changes: DataFrame) -> None:
         sums = signed_sums(changes, self.tokenizer, self.version)
-        self._write(sums.withColumn("batch", F.lit(batch)))
+        # A row that adds nothing gives even an empty batch its partition, which replaces what an earlier delivery left.
+        mark = self.spark.range(1).select(*[F.lit(None).cast("string").alias(k) for k in KEYS[:2]], F.lit(self.version).alias("version"), *[F.lit(0).cast("long").alias(n) for n in ("documents", "tokens")])
+        self._write(sums.union(mark).withColumn("batch", F.lit(batch)))
 
     def _write(self, sums: DataFrame) -> None:
         sums.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(self.path)
