@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from transitloom import constants as C
-from transitloom.functions.scalar import band_name, band_weight, density_class, density_label, density_rank, clamp_load
+from transitloom.functions.scalar import band_name, band_weight, density_class, density_label, density_rank, clamp_load, round_scaled
 from transitloom.operators import audit, demand, lookup
 from transitloom.plans.base import (
     RUN_ID, SERVICE_DATE, TIMES_SQL, band_sql, bearing_sql, clamp_sql, pick_sql, r, register,
@@ -255,7 +255,7 @@ def positions_geojson(c):
 
     rows = lookup.positions(c.hops, C.SAMPLE_TIMES, c.loads)
     # Degrees with six places (about 0.1 m), as decimals, so that both engines print the same digits.
-    degrees = lambda name: F.round(F.col(name), 6).cast("decimal(10, 6)")
+    degrees = lambda name: round_scaled(F.col(name), 6).cast("decimal(10, 6)")
     properties = {"bus_id": F.col("instance_id"), "koridor_id": F.col("corridor_id"), "next_stop": F.col("next_stop"), "eta_minutes": F.col("eta_min")}
     return rows.select("time", "instance_id", point_feature(degrees("lng"), degrees("lat"), properties).alias("feature"))
 
