@@ -127,7 +127,7 @@ def segment_loads(c):
 def segment_snapshot(c):
     asked = F.lit(28805)
     bucket = asked - F.pmod(asked, F.lit(60))
-    snap = demand.segment_snapshot(c.segment_loads, bucket)
+    snap = demand.segment_snapshot(c.segment_loads_at(bucket), bucket)
     return snap.select("segment_id", bucket.cast("int").alias("bucket"), "vehicles", r("density").alias("density"))
 
 
@@ -305,7 +305,7 @@ def next_trip_tiered(c):
         F.concat("corridor_id", F.lit(":"), "b", F.lit("!"), "a").alias("request_id"), F.concat(F.lit("none:"), "corridor_id").alias("segment_id"),
         "corridor_id", F.col("b").alias("from_stop"), F.lit("nowhere").alias("to_stop"), (30000 + F.col("seq") * 2222).alias("ready"),
     )
-    found = lookup.next_trip(one.unionByName(two), c.visits, c.hops)
+    found = lookup.next_trip(one.unionByName(two), c.instances, c.template, c.trip_hops)
     return found.select("request_id", "tier", "at_sec", "instance_id", "matched_segment")
 
 
