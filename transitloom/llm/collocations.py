@@ -2,7 +2,7 @@
 
 Lengths grow one word at a time. In a pass over the texts every task counts, block by block, the next words of the prefixes
 (a stripe), with one entry without word for the prefix occurrences that no counted word follows; stripes are shuffled as
-arrays and merged element by element. The total of a merged stripe is the count of its prefix, its entries are the counts of the
+arrays, in one row per block and bucket, and merged element by element. The total of a merged stripe is the count of its prefix, its entries are the counts of the
 longer phrases, and its largest entry says whether an extension to the right covers the prefix. All later steps read
 these written stripes only.
 
@@ -42,6 +42,7 @@ FIRST = 2000
 SIZE = 3 << 21
 HOT_SHARE = 1000
 PLACES = 64
+BUCKETS = 256
 _BREAK = np.zeros(256, dtype=bool)
 _BREAK[[10, 11, 12, 13, *b".,;:!?"]] = True
 _GAP = _BREAK.copy()
@@ -153,7 +154,15 @@ def _stripes(width: int, bits, cells: int, hot: np.ndarray):
             keys = pc.binary_join_element_wise(
                 words.phrases(at[first[heads]], width), pa.array(place[heads]).cast(pa.string()), pc.take(langs, pa.array(words.text[at[first[heads]]])), "\n"
             )
-            yield pa.RecordBatch.from_arrays([keys, pc.binary_join(pa.ListArray.from_arrays(offsets, cells_of), "\n")], names=["key", "cells"])
+            cells_of = pc.binary_join(pa.ListArray.from_arrays(offsets, cells_of), "\n")
+            # All stripes of the block that go to one bucket are one row.
+            bucket = (mix(prefix[first[heads]] + place[heads].astype(np.uint64) * _NEXT) % np.uint64(BUCKETS)).astype(np.int32)
+            by = np.argsort(bucket, kind="stable")
+            bucket, starts = np.unique(bucket[by], return_index=True)
+            offsets, by = pa.array(np.append(starts, len(by)), pa.int32()), pa.array(by)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(bucket), pa.ListArray.from_arrays(offsets, keys.take(by)), pa.ListArray.from_arrays(offsets, cells_of.take(by))], names=["bucket", "keys", "cells"]
+            )
 
     return tidy(run)
 
@@ -162,15 +171,16 @@ def merge_stripes(stripes: DataFrame, min_count: int) -> DataFrame:
     """lang, prefix, place, total, widest (largest count of a next word) and the entries that are frequent, one row per place.
 
     A stripe travels as two strings, as words hold neither spaces nor line ends: prefix, place and language, and its cells
-    (count and next word, which is empty where none follows). Stripes are dealt by key once; both groupings below use that.
+    (count and next word, which is empty where none follows). Stripes are dealt by bucket once, which follows from the key; both
+    groupings below use that.
     """
-    dealt = stripes.repartition("key")
-    each = dealt.select("key", F.explode(F.split("cells", "\n")).alias("c")).select(
-        "key", F.expr("substr(c, instr(c, ' ') + 1)").alias("next"), F.expr("cast(substr(c, 1, instr(c, ' ') - 1) as bigint)").alias("n")
+    dealt = stripes.repartition("bucket").select("bucket", F.explode(F.arrays_zip("keys", "cells")).alias("s"))
+    each = dealt.select("bucket", F.col("s.keys").alias("key"), F.explode(F.split("s.cells", "\n")).alias("c")).select(
+        "bucket", "key", F.expr("substr(c, instr(c, ' ') + 1)").alias("next"), F.expr("cast(substr(c, 1, instr(c, ' ') - 1) as bigint)").alias("n")
     )
-    summed = each.groupBy("key", F.nullif("next", F.lit("")).alias("next")).agg(F.sum("n").alias("n"))
+    summed = each.groupBy("bucket", "key", F.nullif("next", F.lit("")).alias("next")).agg(F.sum("n").alias("n"))
     frequent = F.when(F.col("next").isNotNull() & (F.col("n") >= min_count), F.struct("next", "n"))
-    merged = summed.groupBy("key").agg(
+    merged = summed.groupBy("bucket", "key").agg(
         F.sum("n").alias("total"), F.max(F.when(F.col("next").isNotNull(), F.col("n"))).alias("widest"), F.collect_list(frequent).alias("entries")
     )
     part = F.split("key", "\n", 3)
@@ -199,7 +209,7 @@ def phrase_stripes(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
         if not rows:
             break
         bloom = Bloom(load(docs.sparkSession, hashed.schema, path), rows, max_cells)
-        stripes = texts.mapInArrow(_stripes(width, bloom.bits, bloom.cells, hot), "key string, cells string")
+        stripes = texts.mapInArrow(_stripes(width, bloom.bits, bloom.cells, hot), "bucket int, keys array<string>, cells array<string>")
         merged = cut(merge_stripes(stripes, min_count))
         found.append(merged)
         frequent = merged.select("lang", "prefix", F.explode("entries").alias("e")).select("lang", F.concat_ws(" ", "prefix", "e.next").alias("phrase"))
