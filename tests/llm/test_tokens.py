@@ -134,3 +134,17 @@ def test_rollup_batch_corrected_to_nothing(spark, tmp_path):
     assert {r.version: r.documents for r in kept.totals().collect()} == {token_counts.WORDS: 1, "bpe": 1}
     kept.commit("one", spark.createDataFrame([], schema))
     assert kept.totals().count() == 0 and kept.batches().count() == 1
+
+
+def test_merging_looks_up_new_pairs_only(monkeypatch):
+    """A merge makes at most two new pairs; the pair that is merged is known by its rank."""
+    from transitloom.llm.queries import tokenizer_path
+
+    tool = bpe.Bpe(open(tokenizer_path(), encoding="utf-8").read())
+    words = [b"transportation", b"neighbourhood", b"xqzvkwjxqzvkwj", b"aaaaaaaaaaaaa"]
+    asked, lookup = [], bpe._lookup
+    monkeypatch.setattr(bpe, "_lookup", lambda keys, wanted: asked.append(wanted.size) or lookup(keys, wanted))
+    ids = tool.merge(words)
+    merges = sum(len(w) - len(x) for w, x in zip(words, ids))
+    assert [tool.decode(x).encode() for x in ids] == words and merges > 20
+    assert sum(asked) <= sum(len(w) - 1 for w in words) + 2 * merges

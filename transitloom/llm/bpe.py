@@ -76,7 +76,8 @@ class Bpe:
         order = np.argsort(keys, kind="stable")
         self.pairs = keys[order]
         self.rank = order.astype(np.int64)
-        self.merged = np.array([vocab[a + b] for a, b in merges], dtype=np.int64)[order]
+        self.joined = np.array([vocab[a + b] for a, b in merges], dtype=np.int64)  # by rank
+        self.merged = self.joined[order]
         self._tokenizer = source
         self._classes = np.full(0x110000, UNKNOWN, dtype=np.uint8)
         self._asked = None
@@ -175,20 +176,20 @@ class Bpe:
             if not open_.any():
                 return out
             ids, rank, rows, best = ids[open_], rank[open_], rows[open_], best[open_]
-            line = np.arange(len(ids))
-            _, found = _lookup(self.pairs, ids[line, best] << 32 | ids[line, best + 1])
-            joined = self.merged[np.searchsorted(self.pairs, ids[line, best] << 32 | ids[line, best + 1])]
-            width = ids.shape[1] - 1
-            take = np.arange(width)[None, :] + (np.arange(width)[None, :] > best[:, None])
-            ids = np.take_along_axis(ids, take, axis=1)
+            # The rank of a pair names what it becomes, so only the pairs that are new get looked up.
+            n, width, line = len(ids), ids.shape[1] - 1, np.arange(len(ids))
+            joined = self.joined[rank[line, best]]
+            keep = np.ones(ids.shape, dtype=bool)
+            keep[line, best + 1] = False
+            ids = ids[keep].reshape(n, width)
             ids[line, best] = joined
             if width > 1:
-                take = np.arange(width - 1)[None, :] + (np.arange(width - 1)[None, :] >= best[:, None])
-                rank = np.take_along_axis(rank, take, axis=1)
-                right = np.flatnonzero(best < width - 1)
-                rank[right, best[right]] = self._ranks(ids[right, best[right]], ids[right, best[right] + 1])
-                left = np.flatnonzero(best > 0)
-                rank[left, best[left] - 1] = self._ranks(ids[left, best[left] - 1], ids[left, best[left]])
+                keep = np.ones(rank.shape, dtype=bool)
+                keep[line, best] = False
+                rank = rank[keep].reshape(n, width - 1)
+                right, left = np.flatnonzero(best < width - 1), np.flatnonzero(best > 0)
+                row, at = np.append(right, left), np.append(best[right], best[left] - 1)
+                rank[row, at] = self._ranks(ids[row, at], ids[row, at + 1])
 
     def _merge_long(self, word: bytes) -> np.ndarray:
         ids = self.single[np.frombuffer(word, np.uint8)]
