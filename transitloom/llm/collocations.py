@@ -1,9 +1,9 @@
 """Phrase collocations by stripes: each prefix keys an associative counter of the words that follow it.
 
 Lengths grow one word at a time. In a pass over the texts every task counts, block by block, the next words of the prefixes
-(a stripe), with one entry without word for the prefix occurrences that no counted word follows; stripes are shuffled as
-arrays, in one row per block and bucket, and merged element by element. The total of a merged stripe is the count of its prefix, its entries are the counts of the
-longer phrases, and its largest entry says whether an extension to the right covers the prefix. All later steps read
+(a stripe); stripes are shuffled as arrays, in one row per block and bucket, and merged element by element. The entries of a merged
+stripe are the counts of the longer phrases, which the next pass has as totals of its prefixes, so prefix occurrences that no counted word
+follows leave no task. The largest entry says whether an extension to the right covers the prefix. All later steps read
 these written stripes only.
 
 A phrase can only be frequent if both phrases without its first and without its last word are, so a pass counts a next word
@@ -47,7 +47,7 @@ _BREAK = np.zeros(256, dtype=bool)
 _BREAK[[10, 11, 12, 13, *b".,;:!?"]] = True
 _GAP = _BREAK.copy()
 _GAP[[9, 32]] = True
-_NEXT, _END = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
+_NEXT = np.uint64(0xD6E8FEB86659FD93)
 
 
 class Words:
@@ -135,22 +135,18 @@ def _stripes(width: int, bits, cells: int, hot: np.ndarray):
             inside = words.piece[: len(own)] == words.piece[width - 1 :]
             known = np.zeros(len(own) + 1, dtype=bool)
             known[np.flatnonzero(inside)] = hit(bits.value, own[inside].view(np.int64), cells)
-            at = np.flatnonzero(known)
+            at = np.flatnonzero(known[:-1] & known[1:])
+            at = at[words.piece[at] == words.piece[at + width]]
             if not len(at):
                 continue
-            last = np.minimum(at + width, len(words.hash) - 1)
-            follows = known[at + 1] & (at + width < len(words.hash)) & (words.piece[at] == words.piece[last])
-            prefix = own[at]
-            key = np.where(follows, mix(prefix * _NEXT + words.hash[last]), prefix ^ _END)
-            _, first, n = np.unique(key, return_index=True, return_counts=True)
-            spread = follows[first] & np.isin(words.hash[at[first]], hot)
-            place = np.where(spread, words.hash[last[first]] % np.uint64(PLACES), 0).astype(np.int32)
+            last, prefix = at + width, own[at]
+            _, first, n = np.unique(mix(prefix * _NEXT + words.hash[last]), return_index=True, return_counts=True)
+            place = np.where(np.isin(words.hash[at[first]], hot), words.hash[last[first]] % np.uint64(PLACES), 0).astype(np.int32)
             order = np.lexsort((place, prefix[first]))
             first, n, place = first[order], n[order], place[order]
             heads = np.flatnonzero(np.append(True, (prefix[first][1:] != prefix[first][:-1]) | (place[1:] != place[:-1])))
             offsets = pa.array(np.append(heads, len(first)), pa.int32())
-            nexts = pc.if_else(pa.array(follows[first]), words.phrases(last[first], 1), pa.scalar("", pa.string()))
-            cells_of = pc.binary_join_element_wise(pa.array(n).cast(pa.string()), nexts, " ")
+            cells_of = pc.binary_join_element_wise(pa.array(n).cast(pa.string()), words.phrases(last[first], 1), " ")
             keys = pc.binary_join_element_wise(
                 words.phrases(at[first[heads]], width), pa.array(place[heads]).cast(pa.string()), pc.take(langs, pa.array(words.text[at[first[heads]]])), "\n"
             )
@@ -167,24 +163,25 @@ def _stripes(width: int, bits, cells: int, hot: np.ndarray):
     return tidy(run)
 
 
-def merge_stripes(stripes: DataFrame, min_count: int) -> DataFrame:
-    """lang, prefix, place, total, widest (largest count of a next word) and the entries that are frequent, one row per place.
+def merge_stripes(stripes: DataFrame, frequent: DataFrame, min_count: int) -> DataFrame:
+    """lang, prefix, total, widest (largest frequent count of a next word) and the entries that are frequent.
 
     A stripe travels as two strings, as words hold neither spaces nor line ends: prefix, place and language, and its cells
-    (count and next word, which is empty where none follows). Stripes are dealt by bucket once, which follows from the key; both
-    groupings below use that.
+    (count and next word). Stripes are dealt by bucket once, which follows from the key; both groupings below use that.
+    A prefix has one row per place with frequent entries and one with its total, which ``frequent`` (lang, phrase, n) brings.
     """
-    dealt = stripes.repartition("bucket").select("bucket", F.explode(F.arrays_zip("keys", "cells")).alias("s"))
-    each = dealt.select("bucket", F.col("s.keys").alias("key"), F.explode(F.split("s.cells", "\n")).alias("c")).select(
+    # Cells become rows straight from the arrays of a block: there is no row per block and prefix between.
+    dealt = stripes.repartition("bucket").select("bucket", F.arrays_zip("keys", "cells").alias("s"))
+    cells = F.flatten(F.transform("s", lambda x: F.transform(F.split(x["cells"], "\n"), lambda c: F.struct(x["keys"].alias("key"), c.alias("c")))))
+    each = dealt.select("bucket", F.inline(cells)).select(
         "bucket", "key", F.expr("substr(c, instr(c, ' ') + 1)").alias("next"), F.expr("cast(substr(c, 1, instr(c, ' ') - 1) as bigint)").alias("n")
     )
-    summed = each.groupBy("bucket", "key", F.nullif("next", F.lit("")).alias("next")).agg(F.sum("n").alias("n"))
-    frequent = F.when(F.col("next").isNotNull() & (F.col("n") >= min_count), F.struct("next", "n"))
-    merged = summed.groupBy("bucket", "key").agg(
-        F.sum("n").alias("total"), F.max(F.when(F.col("next").isNotNull(), F.col("n"))).alias("widest"), F.collect_list(frequent).alias("entries")
-    )
+    summed = each.groupBy("bucket", "key", "next").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
+    merged = summed.groupBy("bucket", "key").agg(F.max("n").alias("widest"), F.collect_list(F.struct("next", "n")).alias("entries"))
     part = F.split("key", "\n", 3)
-    return merged.select(part[2].alias("lang"), part[0].alias("prefix"), part[1].cast("int").alias("place"), "total", "widest", "entries")
+    found = merged.select(part[2].alias("lang"), part[0].alias("prefix"), F.lit(0).cast("long").alias("total"), "widest", "entries")
+    totals = frequent.select("lang", F.col("phrase").alias("prefix"), F.col("n").alias("total"), F.lit(None).cast("long").alias("widest"), F.array().cast(found.schema["entries"].dataType).alias("entries"))
+    return found.union(totals)
 
 
 def phrase_stripes(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min_count: int = MIN_COUNT, max_words: int = MAX_WORDS,
@@ -199,7 +196,7 @@ def phrase_stripes(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
     words = cut(counted.groupBy("lang", kept.alias("phrase")).agg(F.sum("n").alias("n")))
     totals = cut(words.groupBy("lang").agg(F.sum("n").alias("n")))
     every = totals.agg(F.sum("n")).first()[0] or 0
-    frequent = words.where("phrase IS NOT NULL")
+    frequent = words.where("phrase IS NOT NULL").select("lang", "phrase", "n")
     hot_rows = frequent.where(F.col("n") * HOT_SHARE > every).select("lang", "phrase").toPandas()  # fewer than HOT_SHARE rows
     hot = Words([w.encode() for w in hot_rows["phrase"]], _lang_numbers(list(hot_rows["lang"]))).hash if len(hot_rows) else np.zeros(0, np.uint64)
     found: list[DataFrame] = []
@@ -210,9 +207,9 @@ def phrase_stripes(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
             break
         bloom = Bloom(load(docs.sparkSession, hashed.schema, path), rows, max_cells)
         stripes = texts.mapInArrow(_stripes(width, bloom.bits, bloom.cells, hot), "bucket int, keys array<string>, cells array<string>")
-        merged = cut(merge_stripes(stripes, min_count))
+        merged = cut(merge_stripes(stripes, frequent, min_count))
         found.append(merged)
-        frequent = merged.select("lang", "prefix", F.explode("entries").alias("e")).select("lang", F.concat_ws(" ", "prefix", "e.next").alias("phrase"))
+        frequent = merged.select("lang", "prefix", F.explode("entries").alias("e")).select("lang", F.concat_ws(" ", "prefix", "e.next").alias("phrase"), F.col("e.n").alias("n"))
     return totals, found
 
 
