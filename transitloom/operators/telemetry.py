@@ -275,11 +275,15 @@ def count_metrics(counts: DataFrame, truth: DataFrame) -> DataFrame:
 
     Images without any detection count as 0; images without ground truth are flagged.
     """
-    joined = counts.join(truth, "image", "full").fillna({"predicted": 0})
+    return _judged(counts.join(truth, "image", "full").fillna({"predicted": 0}), counts.columns)
+
+
+def _judged(joined: DataFrame, columns: list[str]) -> DataFrame:
+    """The measures of rows that have both counts."""
     error = F.col("predicted") - F.col("actual")
     accuracy = F.when((F.col("actual") == 0) & (F.col("predicted") == 0), 100.0).when(F.col("actual") == 0, 0.0).otherwise((1 - F.abs(error) / F.col("actual")) * 100)
     return joined.select(
-        *counts.columns, "actual", error.alias("error"), F.abs(error).alias("abs_error"), accuracy.alias("accuracy"), F.greatest(F.lit(0.0), accuracy).alias("accuracy_bounded"),
+        *columns, "actual", error.alias("error"), F.abs(error).alias("abs_error"), accuracy.alias("accuracy"), F.greatest(F.lit(0.0), accuracy).alias("accuracy_bounded"),
         F.col("actual").isNull().alias("missing_truth"),
     )
 
@@ -289,7 +293,8 @@ def threshold_sweep(detections: DataFrame, truth: DataFrame, thresholds: list[fl
 
     The valid boxes of an image become a histogram over the thresholds they pass (one map-side combined
     aggregate), and configurations are unfolded from it, so plan and code do not grow with the grid.
-    Every image with ground truth takes part; one without detections counts as 0.
+    Every image with ground truth takes part; one without detections counts as 0. Unfolded rows carry their true count and are summed where
+    they are made: nothing of the grid is shuffled or sorted.
     """
     steps = F.array(*[F.lit(t) for t in sorted(thresholds)])
     passed = F.size(F.filter(steps, lambda t: F.col("conf") >= t))
@@ -299,7 +304,7 @@ def threshold_sweep(detections: DataFrame, truth: DataFrame, thresholds: list[fl
     counted = truth.select("image", "actual").join(per_image, "image", "left").select("image", "actual", "_h", F.explode(grid).alias("c"))
     predicted = F.aggregate(F.filter("_h", lambda x: x["passed"] >= F.col("c.at")), F.lit(0).cast("bigint"), lambda s, x: s + x["n"])
     rows = counted.select("image", "actual", "c.conf", "c.imgsz", F.coalesce(predicted, F.lit(0).cast("bigint")).alias("predicted"))
-    rows = count_metrics(rows.select("image", "conf", "imgsz", "predicted"), truth)
+    rows = _judged(rows, ["image", "conf", "imgsz", "predicted"])
     return rows.groupBy("conf", "imgsz").agg(
         F.count(F.lit(1)).alias("images"), F.avg("abs_error").alias("mae"), F.sqrt(F.avg(F.col("error") * F.col("error"))).alias("rmse"),
         F.avg(F.when(F.col("abs_error") == 0, 100.0).otherwise(0.0)).alias("exact_rate"), F.avg("accuracy").alias("mean_accuracy"),
